@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import read
+from folio.llm.common import materialise, read
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -51,35 +51,52 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     return out.withColumn("target", F.when(F.col("__level").isNull(), F.col("__cap")).otherwise(F.least(F.col("__cap"), F.col("__w") * F.col("__level"))))
 
 
-def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, docs_per_range: int = 2000) -> DataFrame:
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with size, __key and the null-safe source (__source, __has)."""
+    out = docs.withColumn("size", n_words(F.col("text"))).withColumn("__key", random_key(F.col("doc_id"), seed))
+    return out.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__has", F.col("source").isNotNull())
+
+
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df (a written table), to be broadcast if it has at most that many rows; otherwise joins shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _ranged(keyed: DataFrame, plan: DataFrame, docs_per_range: int) -> DataFrame:
+    """Equal parts of the key space, more of them for larger sources."""
+    at = F.floor(F.col("__key") / F.lit(float(2**KEY_BITS)) * F.ceil(F.col("__docs") / docs_per_range)).cast("long")
+    return keyed.join(plan, ["__source", "__has"]).withColumn("__range", at)
+
+
+def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, docs_per_range: int = 2000, broadcast_rows: int = 100_000) -> DataFrame:
     """docs with size, source_size (long), target (double) and taken (long: the words the mix takes, repeats counted).
 
     Null or empty texts have size 0 and are taken 0 times; null sources are a source of their own; sources of size 0
     have target 0. Rows with the same doc_id are ordered by their size, and equal rows are interchangeable. An empty
-    table gives an empty one. Columns of docs named like the four results are replaced.
+    table gives an empty one. Columns of docs named like the four results are replaced; text is not among the results
+    where docs has no columns but doc_id, source and text.
 
-    docs_per_range: documents that one range of the key holds on average. Ranges are equal parts of the key space,
-    more of them for larger sources, so a hot source is dealt over many tasks.
+    docs_per_range: documents that one range of the key holds on average, so a hot source is dealt over many tasks.
+    broadcast_rows: tables of a row a source, or a row a range, are broadcast up to that size.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
-    keyed = docs.withColumn("size", n_words(F.col("text"))).withColumn("__key", random_key(F.col("doc_id"), seed))
-    keyed = keyed.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__has", F.col("source").isNotNull())
-    source = ["__source", "__has"]
-    sizes = keyed.groupBy(*source).agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs"))
-    plan = targets(sizes, weights, share, most).select(*source, "source_size", "target", "__docs")
-    at = F.floor(F.col("__key") / F.lit(float(2**KEY_BITS)) * F.ceil(F.col("__docs") / docs_per_range)).cast("long")
-    ranged = keyed.join(plan, source).withColumn("__range", at)
+    part = ["__source", "__has"]
+    narrow = materialise(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
+    sizes = narrow.groupBy(*part).agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs"))
+    plan = _bounded(materialise(targets(sizes, weights, share, most).select(*part, "source_size", "target", "__docs"), "targets"), broadcast_rows)
     # Prefix sums: sums by range, then offsets of the ranges, then sums within a range.
-    sums = ranged.groupBy(*source, "__range").agg(F.sum("size").alias("__sum"))
-    ranges = Window.partitionBy(*source).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*source, "__range", F.coalesce(F.sum("__sum").over(ranges), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy(*source, "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, [*source, "__range"])
-    budget = F.floor(F.col("target")).cast("long")
+    sums = _ranged(narrow, plan, docs_per_range).groupBy(*part, "__range").agg(F.sum("size").alias("__sum"))
+    ranges = Window.partitionBy(*part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*part, "__range", F.coalesce(F.sum("__sum").over(ranges), F.lit(0)).alias("__offset"))
+    offsets = _bounded(materialise(offsets, "offsets"), broadcast_rows)
+    rows = narrow if set(docs.columns) <= {"doc_id", "source", "text"} else _keyed(docs, seed)
+    within = Window.partitionBy(*part, "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = _ranged(rows, plan, docs_per_range).repartition(*part, "__range")
+    out = out.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, [*part, "__range"])
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size") - F.col("__offset") - F.col("__within")
+    rest = F.floor("target").cast("long") - epochs * F.col("source_size") - F.col("__offset") - F.col("__within")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return out.withColumn("taken", taken.cast("long")).select(*docs.columns, "size", "source_size", "target", "taken")
+    return out.withColumn("taken", taken.cast("long")).select(*[c for c in docs.columns if c in out.columns], "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -87,7 +104,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of docs, with n_chars of the text that a row holds; documents that are not taken are gone.
     """
-    planned = mix(docs, **options)
+    planned = mix(docs.withColumn("__all", F.lit(True)), **options)
     copies = F.expr("concat(array_repeat(true, int(taken div size)), if(taken % size > 0, array(false), cast(array() as array<boolean>)))")
     whole = planned.where("taken > 0").withColumn("__whole", F.explode(copies))
     # Pieces are a word and the white space before it; one document a source is cut.

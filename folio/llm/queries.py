@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from folio.llm import exact_dedup, line_dedup, mixing
+from folio.llm import decontaminate, exact_dedup, line_dedup, mixing, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_tokens": tokens.op5_tokens,
+    "op7_decontamination": decontaminate.op7_decontamination,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op7_decontamination": decontaminate.OP7_SQL,
 }
