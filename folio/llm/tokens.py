@@ -11,6 +11,7 @@ the rows in them stand in ascending order of doc_id.
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 import re
 import zlib
@@ -30,7 +31,7 @@ END = 0
 #: Documents in a shard, on average; at most MOST_SHARDS shards.
 DOCS_PER_SHARD, MOST_SHARDS = 4000, 10_000
 #: Pieces whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: The splits that the tokenizer makes before its merges, for the characters of PLAIN alone.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ɏ]*")
@@ -44,8 +45,19 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it shows, else the next from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library; pieces of plain texts are remembered, as their ids don't depend on others."""
+    """Ids of texts by the tokenizers library.
+
+    The library cuts a text into pieces and merges each by itself. Plain texts are cut here by the same rule, and the
+    library's model merges each new piece once; all other texts go through the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,15 +67,15 @@ class Encoder:
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.pieces: dict[str, bytes] = {}
+        self.alphabet = byte_alphabet()
 
     def _plain(self, text: str) -> bytes:
-        pieces = self.pieces
+        pieces, merge, alphabet = self.pieces, self.library.model.tokenize, self.alphabet
         if len(pieces) > REMEMBERED:
             pieces.clear()
         split = SPLIT.findall(text)
-        if new := [x for x in dict.fromkeys(split) if x not in pieces]:
-            for x, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                pieces[x] = np.array(e.ids, self.type).tobytes()
+        for x in set(split).difference(pieces):
+            pieces[x] = np.array([y.id for y in merge(x.encode().decode("latin-1").translate(alphabet))], self.type).tobytes()
         return b"".join(map(pieces.__getitem__, split))
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -96,12 +108,18 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so what it remembers serves its later tasks."""
+    return Encoder(path)
+
+
 def _stage(path: str, bounds: list) -> object:
     schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's ids; at the end of a partition, one row (shard -1) with the counts of its ids."""
-        own, zip_, counts = Encoder(path), zstandard.ZstdCompressor(level=1), None
+        own, zip_, counts = encoder(path), zstandard.ZstdCompressor(level=1), None
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
@@ -144,7 +162,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, docs_per
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order))
     held = spark.sparkContext.broadcast(rank)
-    wide = Encoder(path).type.str
+    wide = encoder(path).type.str
 
     def to_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, rank = zstandard.ZstdDecompressor(), held.value
