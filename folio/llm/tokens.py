@@ -10,6 +10,7 @@ the rows in them stand in ascending order of doc_id.
 
 from __future__ import annotations
 
+import array
 import bisect
 import functools
 import math
@@ -30,12 +31,15 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Documents in a shard, on average; at most MOST_SHARDS shards.
 DOCS_PER_SHARD, MOST_SHARDS = 4000, 10_000
-#: Pieces whose ids a worker remembers before it starts afresh.
-REMEMBERED = 250_000
+#: Strings whose ids a worker remembers, twice over: those of late, and those of before that are still in use.
+REMEMBERED = 200_000
 #: The splits that the tokenizer makes before its merges, for the characters of PLAIN alone.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ɏ]*")
 
+#: Between white space of one character, words are cut alike wherever they stand.
+DOUBLE = re.compile(r"\s\s")
+
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 
 
@@ -52,11 +56,27 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+class Remembered(dict):
+    """make(key) for each key, remembered; what isn't asked for again is forgotten after a while."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+
 class Encoder:
     """Ids of texts by the tokenizers library.
 
     The library cuts a text into pieces and merges each by itself. Plain texts are cut here by the same rule, and the
-    library's model merges each new piece once; all other texts go through the library whole.
+    library's model merges the pieces, each of them once; all other texts go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -66,17 +86,26 @@ class Encoder:
         self.size = self.library.get_vocab_size()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes] = {}
-        self.alphabet = byte_alphabet()
+        self.alphabet, self.merge = byte_alphabet(), self.library.model.tokenize
+        self.pieces = Remembered(self._piece)
+        self.spaced = Remembered(lambda word: self._piece(f" {word}") if word.isalpha() else self._cut(f" {word}"))
+        self.space, self.code = self.alphabet[0x20], "H" if self.type.itemsize == 2 else "I"
+
+    def _piece(self, x: str) -> bytes:
+        shown = x.replace(" ", self.space) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.alphabet)
+        return array.array(self.code, [y.id for y in self.merge(shown)]).tobytes()
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text)))
 
     def _plain(self, text: str) -> bytes:
-        pieces, merge, alphabet = self.pieces, self.library.model.tokenize, self.alphabet
-        if len(pieces) > REMEMBERED:
-            pieces.clear()
-        split = SPLIT.findall(text)
-        for x in set(split).difference(pieces):
-            pieces[x] = np.array([y.id for y in merge(x.encode().decode("latin-1").translate(alphabet))], self.type).tobytes()
-        return b"".join(map(pieces.__getitem__, split))
+        if DOUBLE.search(text):
+            return self._cut(text)
+        out, spaced = [], self.spaced.__getitem__
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out += [self._cut(first), *map(spaced, rest), self.pieces["\n"]]
+        return b"".join(out[:-1])
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
