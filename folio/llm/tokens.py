@@ -35,10 +35,10 @@ DOCS_PER_SHARD, MOST_SHARDS = 4000, 10_000
 REMEMBERED = 200_000
 #: The splits that the tokenizer makes before its merges, for the characters of PLAIN alone.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ɏ]*")
-
-#: Between white space of one character, words are cut alike wherever they stand.
-DOUBLE = re.compile(r"\s\s")
+#: Their Latin-1 bytes: ASCII that shows, white space, letters of the upper half.
+PLAIN = bytes([9, 10, 11, 12, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+#: White space of more than one character, or other than blanks and line ends: cut by SPLIT alone.
+ODD_SPACE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 
@@ -89,6 +89,7 @@ class Encoder:
         self.alphabet, self.merge = byte_alphabet(), self.library.model.tokenize
         self.pieces = Remembered(self._piece)
         self.spaced = Remembered(lambda word: self._piece(f" {word}") if word.isalpha() else self._cut(f" {word}"))
+        self.first = Remembered(self._cut)
         self.space, self.code = self.alphabet[0x20], "H" if self.type.itemsize == 2 else "I"
 
     def _piece(self, x: str) -> bytes:
@@ -99,37 +100,57 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text)))
 
     def _plain(self, text: str) -> bytes:
-        if DOUBLE.search(text):
+        if any(x in text for x in ODD_SPACE):
             return self._cut(text)
-        out, spaced = [], self.spaced.__getitem__
+        out, end, spaced = [], self.pieces["\n"], self.spaced.__getitem__
         for line in text.split("\n"):
             first, *rest = line.split(" ")
-            out += [self._cut(first), *map(spaced, rest), self.pieces["\n"]]
+            out.append(self.first[first])
+            out += map(spaced, rest)
+            out.append(end)
         return b"".join(out[:-1])
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    @staticmethod
+    def _is_plain(text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, PLAIN)
+        except UnicodeEncodeError:
+            return False
+
+    def __call__(self, text: str | None) -> bytes:
+        """The ids of text, little-endian in self.type."""
         text = text or ""
-        if PLAIN.fullmatch(text) and not any(x in text for x in self.special):
-            return np.frombuffer(self._plain(text), self.type)
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type)
+        if self._is_plain(text) and not any(x in text for x in self.special):
+            return self._plain(text)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
 
+def _cuts(n: np.ndarray) -> list[int]:
+    return [0, *np.cumsum(n).tolist()]
 
-def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of the ranks (below 2 to the power 32)."""
+
+def encode(ranks: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of each document; n: the documents' numbers of ranks (below 2 to the power 32)."""
     ranks = ranks.astype("<u4")
     code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
-    padded[: len(code)] = code
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
-    return control.tobytes(), data.tobytes()
-
-
-def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n ranks: lengths by table lookup, then each byte at its place."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64)
-    at = np.cumsum(lengths) - lengths
-    padded = np.frombuffer(data + bytes(3), np.uint8)
+    # Each document starts a control byte of its own.
+    fours = -(-n // 4)
+    padded = np.zeros(int(fours.sum()) * 4, np.uint8)
+    padded[np.arange(len(code)) + np.repeat(np.cumsum(fours * 4 - n) - (fours * 4 - n), n)] = code
+    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= code[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(code, dtype=np.int64) + np.arange(1, len(code) + 1)])
+    at, to = _cuts(fours), ends[_cuts(n)].tolist()
+    return [control[i:j] for i, j in zip(at, at[1:], strict=False)], [data[i:j] for i, j in zip(to, to[1:], strict=False)]
+
+
+def decode(control: list[bytes], data: list[bytes], n: np.ndarray) -> np.ndarray:
+    """The ranks of all documents, one after the other: lengths by table lookup, then each byte at its place."""
+    fours = -(-n // 4)
+    place = np.arange(int(n.sum())) + np.repeat(np.cumsum(fours * 4 - n) - (fours * 4 - n), n)
+    lengths = LENGTHS[np.frombuffer(b"".join(control), np.uint8)].ravel()[place]
+    at = np.cumsum(lengths, dtype=np.int64) - lengths
+    padded = np.frombuffer(b"".join(data) + bytes(3), np.uint8)
     out = padded[at].astype(np.uint32)
     for k in range(1, 4):
         if len(more := np.flatnonzero(lengths > k)):
@@ -137,6 +158,12 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One for each worker process, so what it remembers serves its later tasks."""
@@ -149,15 +176,14 @@ def _stage(path: str, bounds: list) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's ids; at the end of a partition, one row (shard -1) with the counts of its ids."""
         own, zip_, counts = encoder(path), zstandard.ZstdCompressor(level=1), None
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                ids = [np.append(own(t), own.type.type(END)) for t in part.column("text").to_pylist()]
-                counts = (0 if counts is None else counts) + np.bincount(np.concatenate(ids), minlength=own.size)
-                docs = part.column("doc_id").to_pylist()
-                shards = [0 if d is None else bisect.bisect_left(bounds, d) for d in docs]
-                blobs = [x.tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(docs, pa.int64()), pa.array([zlib.crc32(x) for x in blobs], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zip_.compress(x) for x in blobs], pa.binary())], schema=schema)
+        end = own.type.type(END).tobytes()
+        for part in _parts(batches):
+            blobs = [own(t) + end for t in part.column("text").to_pylist()]
+            counts = (0 if counts is None else counts) + np.bincount(np.frombuffer(b"".join(blobs), own.type), minlength=own.size)
+            docs = part.column("doc_id").to_pylist()
+            shards = [0 if d is None else bisect.bisect_left(bounds, d) for d in docs]
+            n = [len(x) // own.type.itemsize for x in blobs]
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(docs, pa.int64()), pa.array([zlib.crc32(x) for x in blobs], pa.int64()), pa.array(n, pa.int64()), pa.array([zip_.compress(x) for x in blobs], pa.binary())], schema=schema)
         if counts is not None:
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([zip_.compress(counts.astype("<i8").tobytes())], pa.binary())], schema=schema)
 
@@ -195,9 +221,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, docs_per
 
     def to_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, rank = zstandard.ZstdDecompressor(), held.value
-        for batch in batches:
-            codes = [encode(rank[np.frombuffer(unzip.decompress(x), wide)]) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "tie", "n_tokens")), pa.array([c for c, _ in codes], pa.binary()), pa.array([d for _, d in codes], pa.binary())], names=["shard", "doc_id", "tie", "n_tokens", "control", "data"])
+        for part in _parts(batches):
+            ids = np.frombuffer(b"".join(map(unzip.decompress, part.column("ids").to_pylist())), wide)
+            control, data = encode(rank[ids], part.column("n_tokens").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("shard", "doc_id", "tie", "n_tokens")), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["shard", "doc_id", "tie", "n_tokens", "control", "data"])
 
     rows = staged.where("shard >= 0")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard, MOST_SHARDS at most
@@ -209,26 +236,32 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, docs_per
     out.sortWithinPartitions("shard", "start").write.partitionBy("shard").option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary: little-endian unsigned 32-bit, end id included) of each document."""
+def read_tokens(spark: SparkSession, folder: str, checksums: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids (binary: little-endian unsigned 32-bit, end id included) of each document.
+
+    checksums: ids_crc32 (the unsigned crc32 of those bytes) instead of ids.
+    """
     order = [r.token_id for r in spark.read.schema("rank long, token_id long").parquet(f"{folder}/ranks").orderBy("rank").collect()]
     held = spark.sparkContext.broadcast(np.array(order, "<u4"))
+    name, kind = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
 
     def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_tokens")), strict=True)
-            ids = [held.value[decode(*row)].tobytes() for row in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+        for part in _parts(batches):
+            n = part.column("n_tokens").to_numpy()
+            ids = memoryview(held.value[decode(part.column("control").to_pylist(), part.column("data").to_pylist(), n)].tobytes())
+            at = _cuts(4 * n)
+            own = [zlib.crc32(ids[i:j]) if checksums else bytes(ids[i:j]) for i, j in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(own, kind)], names=["doc_id", "start", "n_tokens", name])
 
     blocks = spark.read.schema("doc_id long, start long, n_tokens long, control binary, data binary").parquet(f"{folder}/blocks")
-    return blocks.select("doc_id", "start", "n_tokens", "control", "data").mapInArrow(to_ids, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.select("doc_id", "start", "n_tokens", "control", "data").mapInArrow(to_ids, f"doc_id long, start long, n_tokens long, {name} {'long' if checksums else 'binary'}")
 
 
 def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write docs as tokens, read the files back: doc_id, start, n_tokens, ids_crc32 of each document."""
     folder = workspace(docs.sparkSession, "tokens")
     write_tokens(docs, folder, path)
-    return read_tokens(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(docs.sparkSession, folder, checksums=True)
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
