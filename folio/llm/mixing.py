@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialise, read
+from folio.llm.common import bounded, materialise, read
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -57,11 +57,6 @@ def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     return out.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__has", F.col("source").isNotNull())
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df (a written table), to be broadcast if it has at most that many rows; otherwise joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _ranged(keyed: DataFrame, plan: DataFrame, docs_per_range: int) -> DataFrame:
     """Equal parts of the key space, more of them for larger sources."""
     at = F.floor(F.col("__key") / F.lit(float(2**KEY_BITS)) * F.ceil(F.col("__docs") / docs_per_range)).cast("long")
@@ -83,12 +78,12 @@ def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = 1.5, mos
     part = ["__source", "__has"]
     narrow = materialise(_keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
     sizes = narrow.groupBy(*part).agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs"))
-    plan = _bounded(materialise(targets(sizes, weights, share, most).select(*part, "source_size", "target", "__docs"), "targets"), broadcast_rows)
+    plan = bounded(materialise(targets(sizes, weights, share, most).select(*part, "source_size", "target", "__docs"), "targets"), broadcast_rows)
     # Prefix sums: sums by range, then offsets of the ranges, then sums within a range.
     sums = _ranged(narrow, plan, docs_per_range).groupBy(*part, "__range").agg(F.sum("size").alias("__sum"))
     ranges = Window.partitionBy(*part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*part, "__range", F.coalesce(F.sum("__sum").over(ranges), F.lit(0)).alias("__offset"))
-    offsets = _bounded(materialise(offsets, "offsets"), broadcast_rows)
+    offsets = bounded(materialise(offsets, "offsets"), broadcast_rows)
     rows = narrow if set(docs.columns) <= {"doc_id", "source", "text"} else _keyed(docs, seed)
     within = Window.partitionBy(*part, "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = _ranged(rows, plan, docs_per_range).repartition(*part, "__range")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from folio.llm import decontaminate, exact_dedup, line_dedup, mixing, tokens
+from folio.llm import decontaminate, exact_dedup, language, line_dedup, mixing, near_dedup, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_tokens": tokens.op5_tokens,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_language": language.op8_language,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op6_near_dedup": near_dedup.OP6_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
 }
