@@ -26,10 +26,10 @@ BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 #: Places on the ring that the permutations permute.
 RING_BITS = 20
-#: Pairs whose signatures agree in less than this share are not verified: 3.5 standard errors below 0.8.
-LEAST = 0.70
-#: Members of a bucket that are compared at once.
-BLOCK = 2000
+#: Pairs of leader and member whose signatures agree in less than this share wait for the comparison of components.
+LEAST = 0.75
+#: Shingles of the members that are compared at once.
+BLOCK = 1_000_000
 
 _rng = np.random.default_rng(20)
 BYTES = _rng.integers(0, 2**64, 256, np.uint64)
@@ -156,44 +156,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: in
     return both.withColumn("common", common).where(denominator * F.col("common") >= numerator * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
 
 
-def _across(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket's members in different components whose signatures agree enough.
-
-    A pair that shares several buckets is told in the first of their bands only.
-    """
-    out = []
+def _across(own: pd.DataFrame, others: pd.DataFrame, numerator: int, denominator: int) -> pd.DataFrame:
+    """Links from own to others in another component that share a band: one for each of own and component."""
+    found = []
     if len(own) and len(others):
-        s, t = (np.frombuffer(b"".join(map(bytes, x.signed)), np.uint8).reshape(-1, COORDINATES) for x in (own, others))
-        p, q = (np.stack(x.bands.to_numpy()) for x in (own, others))
-        band = int(own.band.iloc[0])
-        main = others.main.to_numpy()
-        for i in range(len(own)):
-            agree = np.flatnonzero((others.label.to_numpy() != own.label.iloc[i]) & (main | (others.c.to_numpy() > own.c.iloc[i])))
-            agree = agree[(s[i] == t[agree]).mean(1) >= LEAST] if len(agree) else agree
-            agree = agree[~(p[i, :band] == q[agree, :band]).any(1)] if band and len(agree) else agree
-            out.append(np.stack([np.full(len(agree), own.c.iloc[i]), others.c.to_numpy()[agree]], 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs.min(1, initial=2**63 - 1) if len(pairs) else [], "b": pairs.max(1, initial=-(2**63)) if len(pairs) else []}).astype("int64")
-
-
-def _open_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs across components within a bucket; all but the largest component of a bucket ask, all members answer.
-
-    Both sides are dealt into blocks, so a task holds BLOCK askers and BLOCK members at most on average.
+        bands, label, c = np.stack(others.bands.to_numpy()), others.label.to_numpy(), others.c.to_numpy()
+        size = others.shingles.map(len).to_numpy()
+        known, ids = np.unique(np.concatenate(others.shingles.to_numpy()), return_inverse=True)
+        starts, held = np.cumsum(size) - size, np.zeros(len(known), np.uint8)
+        for own_c, own_label, own_bands, own_set in zip(own.c, own.label, own.bands, own.shingles, strict=True):
+            may = (label != own_label) & (bands == own_bands).any(1)
+            may &= (denominator * size >= numerator * len(own_set)) & (denominator * len(own_set) >= numerator * size)
+            if not may.any():
+                continue
+            at = np.searchsorted(known, own_set)
+            at = at[known[np.minimum(at, len(known) - 1)] == own_set]
+            held[at] = 1
+            common = np.add.reduceat(held[ids], starts, dtype=np.int64)
+            held[at] = 0
+            linked = np.flatnonzero(may & (denominator * common >= numerator * (size + len(own_set) - common)))
+            _, first = np.unique(label[linked], return_index=True)
+            found += [(min(own_c, x), max(own_c, x)) for x in c[linked[first]].tolist()]
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links between components that share a bucket.
+
+    Buckets that hold several components are gathered into clusters, by their leaders; in a cluster, all but the members
+    of its largest component ask, and all members answer. Both sides are dealt into blocks of BLOCK shingles on average,
+    so a task holds a block of each.
     """
     known = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    by_label = known.groupBy("key", "label").agg(F.count("*").alias("n"))
-    buckets = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    buckets = materialise(buckets.where("labels > 1").select("key", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("asking")), "open")
-    full = materialise(known.join(buckets, "key").join(classes.select("c", "bands", "signed"), "c"), "across")
+    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    mixed = materialise(known.join(mixed, "key").select("c", "label", "leader"), "open")
+    clusters = components(mixed.where("c != leader").select(F.col("c").alias("a"), F.col("leader").alias("b")).distinct())
+    full = mixed.select("c", "label").distinct().join(clusters.withColumnRenamed("label", "cluster"), "c")
+    full = materialise(full.join(sets, "c").join(classes.select("c", "bands"), "c").withColumn("n", F.size("shingles")), "clusters")
+    parts = full.groupBy("cluster", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("cluster")
+    parts = parts.agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.sum("n").alias("n"), F.max_by("n", F.struct("m", "label")).alias("most"))
+    parts = parts.select("cluster", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.greatest(F.lit(1), F.col("n") - F.col("most")) / BLOCK).cast("int").alias("asking"))
+    full = full.join(materialise(parts, "parts"), "cluster")
     block = lambda n: F.pmod(F.xxhash64("c"), n).cast("int")
-    main = F.col("label") == F.col("largest")
-    own = full.where(~main).withColumn("i", block(F.col("asking"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    others = full.withColumn("main", main).withColumn("j", block(F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)))
-    where = ["key", "i", "j"]
-    own = own.select(*where, "c", "label", "band", "bands", "signed")
-    others = others.select(*where, "c", "label", "main", "bands", "signed")
-    return own.groupBy(*where).cogroup(others.groupBy(*where)).applyInPandas(lambda x, y: _across(x, y), "a long, b long")
+    own = full.where("label != largest").withColumn("i", block(F.col("asking"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = full.withColumn("j", block(F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)))
+    where, columns = ["cluster", "i", "j"], ["c", "label", "bands", "shingles"]
+    meet = own.select(*where, *columns).groupBy(*where).cogroup(others.select(*where, *columns).groupBy(*where))
+    return meet.applyInPandas(lambda x, y: _across(x, y, numerator, denominator), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -231,8 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     rest = pairs.join(best, ["a", "b"], "left_anti")
     links = materialise(links.unionByName(_verified(_apart(rest, labels), sets, numerator, denominator)), "links")
     labels = components(links)
-    rest = _open_pairs(members.select("key", "band", "c"), classes, labels).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(_verified(rest, sets, numerator, denominator), "links")
+    more = materialise(_open_links(members, classes, labels, sets, numerator, denominator), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     known = classes.select("c", "rep", "n").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
