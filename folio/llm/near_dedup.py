@@ -201,8 +201,8 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, sets:
     own = full.where("label != largest").withColumn("i", block(F.col("asking"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     others = full.withColumn("j", block(F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)))
     where, columns = ["cluster", "i", "j"], ["c", "label", "bands", "shingles"]
-    meet = own.select(*where, *columns).groupBy(*where).cogroup(others.select(*where, *columns).groupBy(*where))
-    return meet.applyInPandas(lambda x, y: _across(x, y, numerator, denominator), "a long, b long")
+    sides = own.select(*where, F.lit(True).alias("asks"), *columns).unionByName(others.select(*where, F.lit(False).alias("asks"), *columns))
+    return sides.groupBy(*where).applyInPandas(lambda x: _across(x[x.asks], x[~x.asks], numerator, denominator), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
