@@ -142,7 +142,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit; all their columns."""
-    return decontaminate(docs.withColumn("__text", F.col("text")), benchmark).where("n_hit = 0").select(*docs.columns)
+    columns = docs.columns
+    for items in item_blocks(benchmark):
+        docs = scan(docs, items, into="__found").where("__found.n_hit = 0").select(*columns)
+    return docs
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

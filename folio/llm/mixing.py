@@ -63,13 +63,14 @@ def _ranged(keyed: DataFrame, plan: DataFrame, docs_per_range: int) -> DataFrame
     return keyed.join(plan, ["__source", "__has"]).withColumn("__range", at)
 
 
-def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, docs_per_range: int = 2000, broadcast_rows: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, docs_per_range: int = 2000, broadcast_rows: int = 100_000, texts: bool = True) -> DataFrame:
     """docs with size, source_size (long), target (double) and taken (long: the words the mix takes, repeats counted).
 
     Null or empty texts have size 0 and are taken 0 times; null sources are a source of their own; sources of size 0
     have target 0. Rows with the same doc_id are ordered by their size, and equal rows are interchangeable. An empty
-    table gives an empty one. Columns of docs named like the four results are replaced; text is not among the results
-    where docs has no columns but doc_id, source and text.
+    table gives an empty one. Columns of docs named like the four results are replaced.
+
+    texts: whether the result keeps the columns besides doc_id and source; without, texts are read once.
 
     docs_per_range: documents that one range of the key holds on average, so a hot source is dealt over many tasks.
     broadcast_rows: tables of a row a source, or a row a range, are broadcast up to that size.
@@ -84,14 +85,14 @@ def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = 1.5, mos
     ranges = Window.partitionBy(*part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*part, "__range", F.coalesce(F.sum("__sum").over(ranges), F.lit(0)).alias("__offset"))
     offsets = bounded(materialise(offsets, "offsets"), broadcast_rows)
-    rows = narrow if set(docs.columns) <= {"doc_id", "source", "text"} else _keyed(docs, seed)
+    rows, kept = (_keyed(docs, seed), docs.columns) if texts else (narrow, ["doc_id", "source"])
     within = Window.partitionBy(*part, "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = _ranged(rows, plan, docs_per_range).repartition(*part, "__range")
     out = out.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, [*part, "__range"])
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     rest = F.floor("target").cast("long") - epochs * F.col("source_size") - F.col("__offset") - F.col("__within")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return out.withColumn("taken", taken.cast("long")).select(*[c for c in docs.columns if c in out.columns], "size", "source_size", "target", "taken")
+    return out.withColumn("taken", taken.cast("long")).select(*kept, "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -99,7 +100,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of docs, with n_chars of the text that a row holds; documents that are not taken are gone.
     """
-    planned = mix(docs.withColumn("__all", F.lit(True)), **options)
+    hidden = {c: f"__own_{c}" for c in ("size", "source_size", "target", "taken") if c in docs.columns}
+    planned = mix(docs.withColumnsRenamed(hidden), **options)
     copies = F.expr("concat(array_repeat(true, int(taken div size)), if(taken % size > 0, array(false), cast(array() as array<boolean>)))")
     whole = planned.where("taken > 0").withColumn("__whole", F.explode(copies))
     # Pieces are a word and the white space before it; one document a source is cut.
@@ -108,12 +110,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out = whole.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, texts=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP1_SQL = r"""

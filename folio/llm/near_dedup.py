@@ -189,9 +189,11 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, sets:
     """
     known = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    mixed = materialise(known.join(mixed, "key").select("c", "label", "leader"), "open")
-    clusters = components(mixed.where("c != leader").select(F.col("c").alias("a"), F.col("leader").alias("b")).distinct())
-    full = mixed.select("c", "label").distinct().join(clusters.withColumnRenamed("label", "cluster"), "c")
+    lead = labels.select(F.col("c").alias("leader"), F.col("label").alias("lead"))
+    mixed = known.join(mixed, "key").join(lead, "leader", "left").select("c", "label", F.coalesce("lead", "leader").alias("lead"))
+    mixed = materialise(mixed.distinct(), "open")
+    clusters = components(mixed.where("label != lead").select(F.col("label").alias("a"), F.col("lead").alias("b")).distinct())
+    full = mixed.select("c", "label").distinct().join(clusters.select(F.col("c").alias("label"), F.col("label").alias("cluster")), "label")
     full = materialise(full.join(sets, "c").join(classes.select("c", "bands"), "c").withColumn("n", F.size("shingles")), "clusters")
     parts = full.groupBy("cluster", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("cluster")
     parts = parts.agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.sum("n").alias("n"), F.max_by("n", F.struct("m", "label")).alias("most"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from folio.llm import decontaminate, exact_dedup, language, line_dedup, mixing, near_dedup, tokens, toxicity
+import corpus_pipeline
+from folio.llm import decontaminate, exact_dedup, html, language, licenses, line_dedup, mixing, near_dedup, tokens, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -13,6 +15,8 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_language": language.op8_language,
+    "op9_html": html.op9_html,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLE_SQL = {
