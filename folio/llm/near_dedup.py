@@ -148,6 +148,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("c", "label")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links: the components of the graph whose nodes are the components so far."""
+    a, b = (labels.select(F.col("c").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    new = components(ends.where("a != b").distinct())
+    new = new.select(F.col("c").alias("own"), F.col("label").alias("root"))
+    moved = labels.join(new, labels["label"] == new["own"], "left").select("c", F.coalesce("root", "label").alias("label"))
+    single = new.select(F.col("own").alias("c"), F.col("root").alias("label")).join(labels.select("c"), "c", "left_anti")
+    return materialise(moved.unionByName(single), "labels")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     a, b = (sets.select(F.col("c").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
@@ -240,11 +251,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     links = materialise(_verified(best, sets, numerator, denominator), "links")
     labels = components(links)
     rest = pairs.join(best, ["a", "b"], "left_anti")
-    links = materialise(links.unionByName(_verified(_apart(rest, labels), sets, numerator, denominator)), "links")
-    labels = components(links)
+    labels = _merged(labels, materialise(_verified(_apart(rest, labels), sets, numerator, denominator), "links"))
     more = materialise(_open_links(members, classes, labels, sets, numerator, denominator), "links")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
+    labels = _merged(labels, more)
     known = classes.select("c", "rep", "n").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     ids = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = materialise(known.join(ids, "label").select("c", "n", "component_id"), "components")

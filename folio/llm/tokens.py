@@ -32,7 +32,7 @@ END = 0
 #: Documents in a shard, on average; at most MOST_SHARDS shards.
 DOCS_PER_SHARD, MOST_SHARDS = 4000, 10_000
 #: Strings whose ids a worker remembers, twice over: those of late, and those of before that are still in use.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: The splits that the tokenizer makes before its merges, for the characters of PLAIN alone.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Their Latin-1 bytes: ASCII that shows, white space, letters of the upper half.
