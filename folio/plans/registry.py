@@ -2,5 +2,219 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.functions.text import STOPWORDS, excerpt
+from folio.operators import chunking, evaluation, fusion, lexical, vectors
+from folio.sources.tables import chapters, questions, read
+
+TOP = 10
+
+
+def _six(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _int(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def tokenize_term_freq(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.term_frequencies(chapters(spark, folder))
+
+
+def term_idf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = chapters(spark, folder)
+    n = docs.agg(F.count("*").alias("n"))
+    df = lexical.document_frequencies(lexical.term_frequencies(docs)).crossJoin(F.broadcast(n))
+    return _six(df.select("term", "df", lexical.idf(F.col("df"), F.col("n")).alias("idf")), "idf")
+
+
+def doc_length_stats(spark: SparkSession, folder: str) -> DataFrame:
+    out = lexical.lengths(chapters(spark, folder)).agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), F.min("dl").alias("shortest"), F.max("dl").alias("longest"), F.avg("dl").alias("average"))
+    return _six(out, "average")
+
+
+def _bm25(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.bm25(chapters(spark, folder), questions(spark, folder))
+
+
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _int(_six(lexical.ranked(_bm25(spark, folder), TOP), "score"), "rank").select("item_id", "rank", "doc_id", "score")
+
+
+def bm25_filtered_by_lang(spark: SparkSession, folder: str) -> DataFrame:
+    """The filter comes after the scores: statistics are of the whole corpus."""
+    keep = chapters(spark, folder).where("pov = 'en'").select("doc_id")
+    out = lexical.ranked(_bm25(spark, folder).join(keep, "doc_id", "left_semi"), TOP)
+    return _int(_six(out, "score"), "rank").select("item_id", "rank", "doc_id", "score")
+
+
+def contains_all_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.contains_all(chapters(spark, folder), questions(spark, folder))
+
+
+def exact_phrase_match(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.exact_phrases(chapters(spark, folder), questions(spark, folder), words=8)
+
+
+def fixed_chunks_short(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.fixed_chunks(chapters(spark, folder), "short")
+
+
+def fixed_chunks_medium(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.fixed_chunks(chapters(spark, folder), "medium")
+
+
+def scene_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.scene_windows(chapters(spark, folder))
+
+
+def chunk_scene_map(spark: SparkSession, folder: str) -> DataFrame:
+    docs = chapters(spark, folder)
+    return chunking.overlapping(chunking.fixed_chunks(docs), chunking.scene_windows(docs))
+
+
+def paragraph_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.paragraphs(chapters(spark, folder))
+
+
+def chapter_reconstruction(spark: SparkSession, folder: str) -> DataFrame:
+    return _int(chunking.reconstruction_errors(chunking.fixed_chunks(chapters(spark, folder))), "n_gaps")
+
+
+def corpus_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.lengths(chapters(spark, folder)).join(chapters(spark, folder), "doc_id").groupBy("book", "pov").agg(F.count("*").alias("n_chapters"), F.sum("dl").alias("n_tokens"))
+
+
+def catalog(spark: SparkSession, folder: str) -> DataFrame:
+    return chapters(spark, folder).groupBy("book").agg(F.array_join(F.array_sort(F.collect_set("pov")), ",").alias("povs"), F.count("*").alias("n_chapters"))
+
+
+def excerpts(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", excerpt(F.col("text")).alias("excerpt"))
+
+
+def vector_validation(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.violations(read(spark, folder, "embeddings"))
+
+
+def _nearest(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    v = read(spark, folder, "embeddings")
+    return vectors.nearest(v, v.where("vec_id % 100 = 0"), k)
+
+
+def similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries are all rows whose id is divisible by 100, against all rows."""
+    return _int(_six(_nearest(spark, folder, TOP), "score"), "rank").select("query_id", "rank", "vec_id", "score")
+
+
+def chapter_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    v = read(spark, folder, "embeddings").select("vec_id", "label")
+    return _int(fusion.one_each(_nearest(spark, folder, 50).join(v, "vec_id"), "label", by="query_id"), "rank").select("query_id", "label", "vec_id", "rank")
+
+
+def context_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.context_vectors(read(spark, folder, "embeddings")).select("vec_id", F.posexplode("embedding").alias("at", "x")).select("vec_id", "at", F.round("x", 6).alias("x"))
+
+
+def _rankings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """BM25 ranks, and ranks by the share of the query's terms that a document has (pools of 50)."""
+    scores = _bm25(spark, folder)
+    asked = lexical.term_frequencies(questions(spark, folder), "item_id", "query")
+    shared = lexical.term_frequencies(chapters(spark, folder)).join(asked.select("item_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    return lexical.ranked(scores, 50), lexical.ranked(shared, 50)
+
+
+def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    first, second = _rankings(spark, folder)
+    out = lexical.ranked(fusion.fuse((first, 0.5), (second, 0.5)), TOP)
+    return _int(out.withColumn("score", F.round("score", 9)), "rank").select("item_id", "rank", "doc_id", "score")
+
+
+def _firsts(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets of an item: the documents that hold its first eight tokens in a row."""
+    return evaluation.first_ranks(lexical.ranked(_bm25(spark, folder), 50), exact_phrase_match(spark, folder))
+
+
+def rank_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    out = evaluation.gate(evaluation.rank_metrics(_firsts(spark, folder)))
+    return _six(out, "mrr_10", "hit_1", "hit_3", "hit_5", "hit_10", "low_10", "high_10")
+
+
+def ndcg(spark: SparkSession, folder: str) -> DataFrame:
+    grades = exact_phrase_match(spark, folder).withColumn("grade", (F.col("doc_id") % 3 + 1).cast("int"))
+    return _six(evaluation.ndcg(lexical.ranked(_bm25(spark, folder), 50), grades), "ndcg")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        tokenize_term_freq, term_idf, doc_length_stats, bm25_topk, bm25_filtered_by_lang, contains_all_terms, exact_phrase_match, fixed_chunks_short, fixed_chunks_medium, scene_windows, chunk_scene_map,
+        paragraph_offsets, chapter_reconstruction, corpus_summary, catalog, excerpts, vector_validation, similar_vectors, chapter_dedupe, context_vectors, rrf_fusion, rank_metrics, ndcg,
+    )
+}
+
+
+def _tokens(text: str) -> str:
+    folded = f"lower(coalesce({text}, ''))"
+    for old, new in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("’", "''")):
+        folded = f"replace({folded}, '{old}', '{new}')"
+    return f"list_transform(regexp_extract_all({folded}, '[a-z0-9]+(?:''[a-z0-9]+)?'), lambda x: regexp_replace(x, '''s$', ''))"
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+_SPACE = r"[\s\x{0b}\x{85}\p{Z}]+"
+_WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')"
+_BASE = f"""
+d as (select doc_id, source book, lang pov, {_tokens("text")} t from documents),
+q as (select item_id, {_tokens("text")} t from benchmark),
+p as (select doc_id, term, count(*) tf from (select doc_id, unnest(t) term from d) group by all),
+a as (select item_id, term, count(*) qf from (select item_id, unnest(t) term from q) group by all),
+s as (select count(*) n, avg(len(t)) avgdl from d),
+f as (select term, count(*) df, ln(1 + ((select n from s) - count(*) + 0.5) / (count(*) + 0.5)) idf from p group by term),
+sc as (select item_id, p.doc_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.t) / (select avgdl from s)))) score
+       from a join p on a.term = p.term join f on f.term = p.term join d on d.doc_id = p.doc_id group by 1, 2),
+r as (select item_id, doc_id, score, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) rank from sc where score > 0),
+ph as (select item_id, doc_id from q, d where len(q.t) >= 2 and contains(' ' || array_to_string(d.t, ' ') || ' ', ' ' || array_to_string(q.t[1:8], ' ') || ' '))"""
+_CHUNK = """
+w as (select doc_id, WORDS w from documents),
+c as (select doc_id, w, unnest(range(0, greatest(len(w) - {o} - 1, 0) + 1, {t})) s from w where len(w) > 0),
+ch as (select doc_id, (s // {t} + 1)::int ordinal, s::int word_start, least(s + {n}, len(w))::int word_end, array_to_string(w[s + 1:s + {n}], ' ') as text from c)"""
+_SHORT, _MEDIUM = (_CHUNK.format(o=o, t=t, n=n).replace("WORDS", _WORDS) for o, t, n in ((45, 135, 180), (60, 240, 300)))
+_SCENE = """
+sw as (select doc_id, len(w) n, greatest(len(w) - 280, 0) l from w where len(w) > 0),
+sx as (select doc_id, n, l, list_distinct(list_concat(list_filter(range(0, l + 1, 180), lambda x: x < l), [l])) starts from sw),
+sz as (select doc_id, s::int word_start, least(s + 280, n)::int word_end, (row_number() over (partition by doc_id order by s))::int ordinal from (select doc_id, n, unnest(starts) s from sx))"""
+_NEAR = """
+n as (select x.vec_id query_id, y.vec_id, list_sum(list_transform(range(1, 65), lambda i: x.embedding[i]::double * y.embedding[i]::double)) score
+      from embeddings x, embeddings y where x.vec_id % 100 = 0 and x.vec_id <> y.vec_id),
+k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) rank from n)"""
+_FIRST = "g as (select ph.item_id, min(rank) first from ph left join (select * from r where rank <= 50) r on r.item_id = ph.item_id and r.doc_id = ph.doc_id group by 1)"
+
+ORACLE_SQL = {
+    "tokenize_term_freq": f"with {_BASE} select * from p",
+    "term_idf": f"with {_BASE} select term, df, round(idf, 6) idf from f",
+    "doc_length_stats": f"with {_BASE} select count(*) n_docs, sum(len(t))::bigint n_tokens, min(len(t)) shortest, max(len(t)) longest, round(avg(len(t)), 6) average from d",
+    "bm25_topk": f"with {_BASE} select item_id, rank, doc_id, round(score, 6) score from r where rank <= 10",
+    "bm25_filtered_by_lang": f"with {_BASE}, e as (select sc.item_id, sc.doc_id, score, row_number() over (partition by item_id order by round(score, 9) desc, sc.doc_id) rank from sc join d on d.doc_id = sc.doc_id where pov = 'en') select item_id, rank, doc_id, round(score, 6) score from e where rank <= 10",
+    "contains_all_terms": f"with {_BASE}, z as (select item_id, term, count(*) over (partition by item_id) need from a where term not in ({_STOP})) select item_id, doc_id from z join p on z.term = p.term group by item_id, doc_id, need having count(*) = need",
+    "exact_phrase_match": f"with {_BASE} select * from ph",
+    "fixed_chunks_short": f"with {_SHORT} select * from ch",
+    "fixed_chunks_medium": f"with {_MEDIUM} select * from ch",
+    "scene_windows": f"with {_SHORT}, {_SCENE} select doc_id, ordinal, word_start, word_end from sz",
+    "chunk_scene_map": f"with {_SHORT}, {_SCENE} select ch.doc_id, ch.ordinal chunk, sz.ordinal \"window\" from ch join sz on ch.doc_id = sz.doc_id where sz.word_start < ch.word_end and ch.word_start < sz.word_end",
+    "paragraph_offsets": f"with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) k from documents), m as (select doc_id, k, text, len({_WORDS}) n from l), o as (select *, coalesce(sum(n) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) b from m) select doc_id, k::int ordinal, b::int word_start, (b + n)::int word_end, text from o where n > 0",
+    "chapter_reconstruction": f"with {_SHORT} select doc_id, len(w)::bigint n_words, 0::bigint n_conflicts, 0::bigint n_gaps from w where len(w) > 0",
+    "corpus_summary": f"with {_BASE} select book, pov, count(*) n_chapters, sum(len(t))::bigint n_tokens from d group by all",
+    "catalog": "select source book, string_agg(distinct lang, ',' order by lang) povs, count(*) n_chapters from documents group by 1",
+    "excerpts": "with h as (select doc_id, text, left(text, 300) h from documents) select doc_id, case when length(text) <= 300 then text else regexp_replace(case when contains(h, ' ') then regexp_replace(h, ' [^ ]*$', '') else h end, '[ ,;:]+$', '') || '…' end excerpt from h",
+    "vector_validation": "select count(*) n, count(case when len(embedding) <> 64 then 1 end) bad_size, count(case when len(list_filter(embedding, lambda x: not isfinite(x))) > 0 then 1 end) not_finite, count(case when abs(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) - 1) > 1e-4 then 1 end) bad_norm from embeddings",
+    "similar_vectors": f"with {_NEAR} select query_id, rank, vec_id, round(score, 6) score from k where rank <= 10",
+    "chapter_dedupe": f"with {_NEAR} select query_id, e.label, k.vec_id, rank from k join embeddings e on e.vec_id = k.vec_id where rank <= 50 qualify row_number() over (partition by query_id, e.label order by rank) = 1",
+    "context_vectors": "with x as (select vec_id, label, unnest(embedding)::double x, unnest(range(64)) as i from embeddings), y as (select vec_id, i, sum(x) over (partition by label, i order by vec_id rows between 1 preceding and 1 following) z from x) select vec_id, i::int as \"at\", round(z / sqrt(sum(z * z) over (partition by vec_id)), 6) x from y",
+    "rrf_fusion": f"with {_BASE}, c as (select item_id, p.doc_id, count(*) score from a join p on a.term = p.term group by 1, 2), v as (select *, row_number() over (partition by item_id order by score desc, doc_id) rank from c), u as (select item_id, doc_id, sum(0.5 / (60 + rank)) score from (select item_id, doc_id, rank from r where rank <= 50 union all select item_id, doc_id, rank from v where rank <= 50) group by 1, 2), o as (select item_id, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) rank, doc_id, round(score, 9) score from u) select * from o where rank <= 10",
+    "rank_metrics": f"with {_BASE}, {_FIRST}, m as (select count(*) n, avg(case when first <= 10 then 1.0 / first else 0 end) mrr, avg(case when first <= 1 then 1.0 else 0 end) h1, avg(case when first <= 3 then 1.0 else 0 end) h3, avg(case when first <= 5 then 1.0 else 0 end) h5, avg(case when first <= 10 then 1.0 else 0 end) h10, {evaluation.Z}::double z from g), i as (select *, (h10 + z * z / (2 * n)) c, z * sqrt(h10 * (1 - h10) / n + z * z / (4 * n * n)) w, 1 + z * z / n e from m) select n, round(mrr, 6) mrr_10, round(h1, 6) hit_1, round(h3, 6) hit_3, round(h5, 6) hit_5, round(h10, 6) hit_10, round(greatest((c - w) / e, 0), 6) low_10, round(least((c + w) / e, 1), 6) high_10, case when h5 >= 0.7 and h10 >= 0.8 then 'proceed' when h5 >= 0.5 then 'investigate-once' else 'stop-or-rethink' end decision from i",
+    "ndcg": f"with {_BASE}, x as (select ph.item_id, ph.doc_id, doc_id % 3 + 1 grade from ph), y as (select x.*, r.rank, row_number() over (partition by x.item_id order by grade desc) best from x left join (select * from r where rank <= 10) r on r.item_id = x.item_id and r.doc_id = x.doc_id) select item_id, round(sum(coalesce((pow(2, grade) - 1) / log2(rank + 1), 0)) / sum(case when best <= 10 then (pow(2, grade) - 1) / log2(best + 1) else 0 end), 6) ndcg from y group by 1",
+}
