@@ -18,7 +18,7 @@ def tokens(text: Column) -> Column:
     folded = F.lower(F.coalesce(text, F.lit("")))
     for old, new in FOLDS.items():
         folded = F.replace(folded, F.lit(old), F.lit(new))
-    return F.transform(F.regexp_extract_all(folded, F.lit(TOKEN), 0), lambda t: F.regexp_replace(t, "'s$", ""))
+    return F.transform(F.regexp_extract_all(folded, F.lit(TOKEN), 0), lambda t: F.when(F.endswith(t, F.lit("'s")), F.left(t, F.char_length(t) - 2)).otherwise(t))
 
 
 def words(text: Column) -> Column:

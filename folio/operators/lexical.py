@@ -37,12 +37,16 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = term_frequencies(queries, "item_id", "query").withColumnRenamed("tf", "qf")
     vocabulary = small(asked.select("term").distinct())
-    found = term_frequencies(docs).join(vocabulary, "term", "left_semi")
+    # The queries' terms are picked before anything is shuffled; a document's length travels with them.
+    split = docs.select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("t"))
+    each = split.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
+    found = each.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     corpus = lengths(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     weights = document_frequencies(found).crossJoin(F.broadcast(corpus)).select("term", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(small(weights), "term").join(lengths(docs), "doc_id").join(small(asked), "term")
-    return scored.groupBy("item_id", "doc_id").agg(F.sum(part).alias("score"))
+    # One row a term of the queries, so as small as the queries are.
+    weighted = small(asked.join(weights, "term"))
+    return found.join(weighted, "term").groupBy("item_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int, by: str = "item_id", id_col: str = "doc_id", score: str = "score") -> DataFrame:
@@ -57,7 +61,8 @@ def contains_all(docs: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select("item_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).where(~F.col("term").isin(*STOPWORDS))
     need = asked.groupBy("item_id").agg(F.count("*").alias("need"))
     asked = small(asked.join(need, "item_id"))
-    hits = term_frequencies(docs).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("got"), F.first("need").alias("need"))
+    postings = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    hits = postings.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("got"), F.first("need").alias("need"))
     return hits.where("got = need").select("item_id", "doc_id")
 
 
@@ -70,9 +75,10 @@ def exact_phrases(docs: DataFrame, queries: DataFrame, words: int | None = None)
     asked = queries.select("item_id", tokens(F.col("query")).alias("q"))
     asked = asked.withColumn("q", F.slice("q", 1, words)) if words else asked
     asked = asked.where(F.size("q") >= 2).select("item_id", F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")).alias("phrase"), F.array_distinct("q").alias("q"))
-    postings = term_frequencies(docs).select("doc_id", "term")
     terms = asked.select("item_id", F.explode("q").alias("term"))
-    rare = postings.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    vocabulary = small(terms.select("term").distinct())
+    postings = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(vocabulary, "term", "left_semi")
+    rare = postings.groupBy("term").agg(F.count("*").alias("df"))
     seed = terms.join(rare, "term").groupBy("item_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
     candidates = postings.join(small(seed), "term").select("doc_id", "item_id")
     text = docs.select("doc_id", F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" ")).alias("body"))
