@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: a token is ASCII letters and digits, with one inner apostrophe part.
-TOKEN = r"[a-z0-9]+(?:'[a-z0-9]+)?"
+#: Fixed value: a token is ASCII letters and digits, with one inner apostrophe part; a final 's stays outside the group.
+TOKEN = r"([a-z0-9]+(?:'(?!s(?![a-z0-9]))[a-z0-9]+)?)(?:'s(?![a-z0-9]))?"
 #: Characters that case folding makes several of, where lower() keeps one.
 FOLDS = {"ß": "ss", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "’": "'"}
 #: Words that evidence and spans skip.
@@ -18,7 +18,7 @@ def tokens(text: Column) -> Column:
     folded = F.lower(F.coalesce(text, F.lit("")))
     for old, new in FOLDS.items():
         folded = F.replace(folded, F.lit(old), F.lit(new))
-    return F.transform(F.regexp_extract_all(folded, F.lit(TOKEN), 0), lambda t: F.when(F.endswith(t, F.lit("'s")), F.left(t, F.char_length(t) - 2)).otherwise(t))
+    return F.regexp_extract_all(folded, F.lit(TOKEN), 1)
 
 
 def words(text: Column) -> Column:
