@@ -14,7 +14,9 @@ import array
 import bisect
 import functools
 import math
+import operator
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ END = 0
 #: Documents in a shard, on average; at most MOST_SHARDS shards.
 DOCS_PER_SHARD, MOST_SHARDS = 4000, 10_000
 #: Strings whose ids a worker remembers, twice over: those of late, and those of before that are still in use.
-REMEMBERED = 50_000
+REMEMBERED = 150_000
 #: The splits that the tokenizer makes before its merges, for the characters of PLAIN alone.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Their Latin-1 bytes: ASCII that shows, white space, letters of the upper half.
@@ -40,6 +42,7 @@ PLAIN = bytes([9, 10, 11, 12, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range
 #: White space of more than one character, or other than blanks and line ends: cut by SPLIT alone.
 ODD_SPACE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 
+ID = operator.attrgetter("id")
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 
 
@@ -88,13 +91,20 @@ class Encoder:
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.alphabet, self.merge = byte_alphabet(), self.library.model.tokenize
         self.pieces = Remembered(self._piece)
-        self.spaced = Remembered(lambda word: self._piece(f" {word}") if word.isalpha() else self._cut(f" {word}"))
-        self.first = Remembered(self._cut)
+        self.spaced = Remembered(lambda word: self._word(" ", word, self.spaced))
+        self.first = Remembered(lambda word: self._word("", word, self.first))
         self.space, self.code = self.alphabet[0x20], "H" if self.type.itemsize == 2 else "I"
 
     def _piece(self, x: str) -> bytes:
         shown = x.replace(" ", self.space) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.alphabet)
-        return array.array(self.code, [y.id for y in self.merge(shown)]).tobytes()
+        return array.array(self.code, map(ID, self.merge(shown))).tobytes()
+
+    def _word(self, before: str, word: str, known: Remembered) -> bytes:
+        """Ids of a word after `before`; letters and the signs that follow them are two pieces, so they are known apart."""
+        if word.isalpha():
+            return self._piece(before + word)
+        letters = word.rstrip(string.punctuation)
+        return known[letters] + self.pieces[word[len(letters) :]] if letters.isalpha() else self._cut(before + word)
 
     def _cut(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text)))
