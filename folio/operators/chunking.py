@@ -51,3 +51,27 @@ def reconstruction_errors(chunks: DataFrame) -> DataFrame:
     at = each.groupBy("doc_id", (F.col("word_start") + F.col("k")).alias("at")).agg(F.min("word").alias("low"), F.max("word").alias("high"))
     out = at.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count(F.when(F.col("low") != F.col("high"), 1)).alias("n_conflicts"), F.max("at").alias("last"))
     return out.select("doc_id", "n_words", "n_conflicts", (F.col("last") + 1 - F.col("n_words")).alias("n_gaps"))
+
+
+def target_matches(chunks: DataFrame, targets: DataFrame, strategy: str = "midpoint", least: int = 20) -> DataFrame:
+    """doc_id, target, ordinal, overlap, distance: the chunks that hold the middle word of a target (doc_id, target, s, e), or `least` of its words.
+
+    A target of fewer words must lie in the chunk whole.
+    """
+    both = chunks.select("doc_id", "ordinal", "word_start", "word_end").join(targets, "doc_id")
+    overlap = F.greatest(F.least("word_end", "e") - F.greatest("word_start", "s"), F.lit(0))
+    middle = F.floor((F.col("s") + F.col("e") - 1) / 2)
+    hit = (F.col("word_start") <= middle) & (middle < F.col("word_end")) if strategy == "midpoint" else overlap >= F.least(F.lit(least), F.col("e") - F.col("s"))
+    distance = F.abs((F.col("word_start") + F.col("word_end") - 1) / 2 - (F.col("s") + F.col("e") - 1) / 2)
+    return both.where(hit).select("doc_id", "target", "ordinal", overlap.alias("overlap"), distance.alias("distance"))
+
+
+def best_chunks(matches: DataFrame) -> DataFrame:
+    """doc_id, target, ordinal: the chunk that shares most words with the target; then the nearest middle, then the first."""
+    return matches.groupBy("doc_id", "target").agg(F.min(F.struct(-F.col("overlap"), "distance", "ordinal"))["ordinal"].alias("ordinal"))
+
+
+def neighbour_spans(chunks: DataFrame) -> DataFrame:
+    """doc_id, ordinal, context_start, context_end: from the start of the chunk before to the end of the chunk after."""
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    return chunks.select("doc_id", "ordinal", F.coalesce(F.lag("word_start").over(w), "word_start").alias("context_start"), F.coalesce(F.lead("word_end").over(w), "word_end").alias("context_end"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The normal quantile of the 95 % Wilson interval; cut-offs of hit@k; gate thresholds.
@@ -46,3 +46,16 @@ def ndcg(ranked: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
     got = grades.join(ranked.where(F.col("rank") <= k), ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.sum(F.coalesce(gain(F.col("grade")) / F.log2(F.col("rank") + 1), F.lit(0.0))).alias("dcg"), F.slice(F.sort_array(F.collect_list("grade"), False), 1, k).alias("g"))
     best = F.aggregate(F.transform("g", lambda x, i: gain(x) / F.log2(i + 2.0)), F.lit(0.0), lambda s, x: s + x)
     return got.select("item_id", F.when(best > 0, F.col("dcg") / best).otherwise(0.0).alias("ndcg"))
+
+
+def percentiles(values: DataFrame, value: str, *by: str) -> DataFrame:
+    """by, n, average, p50, p95, most: nearest-rank percentiles at index (n - 1) * f, rounded half to even.
+
+    Equal values are counted before they meet, so a group's task holds its distinct values.
+    """
+    counts = values.groupBy(*by, value).agg(F.count("*").alias("m"))
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("upto", F.sum("m").over(upto)).withColumn("n", F.sum("m").over(whole))
+    at = [F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * f), F.col(value))).alias(name) for f, name in ((0.5, "p50"), (0.95, "p95"))]
+    return placed.groupBy(*by, "n").agg((F.sum(F.col(value) * F.col("m")) / F.first("n")).alias("average"), *at, F.max(value).alias("most"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import STOPWORDS, tokens
-from folio.sources.tables import small
+from folio.sources.tables import hint, small
 
 K1, B = 1.5, 0.75
 #: Scores that agree in so many decimals tie; the smaller id then ranks first.
@@ -36,7 +36,8 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     Only postings of the queries' terms leave the scan; the corpus statistics are one row.
     """
     asked = term_frequencies(queries, "item_id", "query").withColumnRenamed("tf", "qf")
-    vocabulary = small(asked.select("term").distinct())
+    few = hint(asked)
+    vocabulary = few(asked.select("term").distinct())
     # The queries' terms are picked before anything is shuffled; a document's length travels with them.
     split = docs.select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("t"))
     each = split.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
@@ -45,7 +46,7 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     weights = document_frequencies(found).crossJoin(F.broadcast(corpus)).select("term", idf(F.col("df"), F.col("n")).alias("idf"), "avgdl")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # One row a term of the queries, so as small as the queries are.
-    weighted = small(asked.join(weights, "term"))
+    weighted = few(asked.join(weights, "term"))
     return found.join(weighted, "term").groupBy("item_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
@@ -76,10 +77,11 @@ def exact_phrases(docs: DataFrame, queries: DataFrame, words: int | None = None)
     asked = asked.withColumn("q", F.slice("q", 1, words)) if words else asked
     asked = asked.where(F.size("q") >= 2).select("item_id", F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")).alias("phrase"), F.array_distinct("q").alias("q"))
     terms = asked.select("item_id", F.explode("q").alias("term"))
-    vocabulary = small(terms.select("term").distinct())
+    few = hint(terms)
+    vocabulary = few(terms.select("term").distinct())
     postings = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(vocabulary, "term", "left_semi")
     rare = postings.groupBy("term").agg(F.count("*").alias("df"))
     seed = terms.join(rare, "term").groupBy("item_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
-    candidates = postings.join(small(seed), "term").select("doc_id", "item_id")
+    candidates = postings.join(few(seed), "term").select("doc_id", "item_id")
     text = docs.select("doc_id", F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" ")).alias("body"))
-    return candidates.join(text, "doc_id").join(small(asked.select("item_id", "phrase")), "item_id").where(F.contains("body", "phrase")).select("item_id", "doc_id")
+    return candidates.join(text, "doc_id").join(few(asked.select("item_id", "phrase")), "item_id").where(F.contains("body", "phrase")).select("item_id", "doc_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +25,8 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df, broadcast in joins if it has at most that many rows; otherwise joins shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def hint(df: DataFrame, rows: int = 100_000) -> Callable[[DataFrame], DataFrame]:
+    """Marks frames that can't have more rows than df, without running them: broadcast if df has at most that many rows."""
+    return F.broadcast if df.limit(rows + 1).count() <= rows else lambda x: x

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions.text import excerpt, tokens
-from folio.operators import chunking, evaluation, fusion, lexical, vectors
+from folio.operators import chunking, evaluation, evidence, fusion, lexical, vectors
 
 
 def rows(df, *columns):
@@ -88,3 +88,63 @@ def test_excerpt(spark):
     df = text_of(spark, "short", "word, " * 100)
     got = [r.e for r in df.select(excerpt(F.col("text"), 20).alias("e")).collect()]
     assert got == ["short", "word, word, word…"]
+
+
+def test_evidence_against_brute_force(spark):
+    texts = ["red fox the red dog", "dog red", "fox", "", None, "cat red cat fox cat dog red", "the of", "dog " * 50 + "red fox"]
+    asked = {1: "red fox dog", 2: "the dog", 3: "zebra red", 4: "of the", 5: "red red fox"}
+    docs = text_of(spark, *texts)
+    queries = spark.createDataFrame(list(asked.items()), "item_id long, query string")
+    split = [(t or "").split() for t in texts]
+    df = {w: sum(w in t for t in split) for t in split for w in t}
+    idf = {w: math.log1p((len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    want, full = {}, set()
+    for item, query in asked.items():
+        raw = [w for w in query.split() if w not in ("the", "of")]
+        q = [w for w in raw if w in df]
+        pairs = set(zip(q, q[1:], strict=False))
+        for doc, t in enumerate(split):
+            if not (hit := set(q) & set(t)):
+                continue
+            coverage = sum(idf[w] for w in hit) / sum(idf[w] for w in set(q))
+            width = min(j - i for i in range(len(t)) for j in range(i + 1, len(t) + 1) if hit <= set(t[i:j]))
+            near = coverage * len(hit) / width if len(hit) > 1 else 0
+            phrase = len(pairs & set(zip(t, t[1:], strict=False))) / len(pairs) if pairs else 0
+            want[item, doc] = pytest.approx((coverage, near, phrase, 0.6 * coverage + 0.3 * near + 0.1 * phrase))
+            full |= {(item, doc)} if set(raw) <= set(t) else set()
+    assert {(r.item_id, r.doc_id): (r.coverage, r.proximity, r.phrase, r.score) for r in evidence.evidence(docs, queries).collect()} == want
+    assert {(r.item_id, r.doc_id) for r in evidence.evidence(docs, queries, strict=True).collect()} == full
+    # Close terms lift a share of the base score; one term alone gains nothing.
+    got = {(r.item_id, r.doc_id): r for r in evidence.lexical_scores(docs, queries).collect()}
+    share = {k: 0.25 * r.base / max(x.base for (i, _), x in got.items() if i == k[0]) for k, r in got.items()}
+    assert not any(r.exact for r in got.values())
+    assert got[1, 0].score == pytest.approx(share[1, 0] + 1 + 0.5 * 3 / 4 + 0.25 / 2)
+    assert got[2, 1].score == pytest.approx(share[2, 1])
+
+
+def test_pages_hold_no_overlap(spark):
+    chunks = spark.createDataFrame([(0, i + 1, 10 * i, 10 * i + 20, t) for i, t in enumerate(["red fox", "red", "cat", "red"])] + [(1, 1, 0, 5, "fox")], "doc_id long, ordinal int, word_start int, word_end int, text string")
+    queries = spark.createDataFrame([(1, "red fox")], "item_id long, query string")
+    got = [r for page in (1, 2) for r in evidence.lexical_page(chunks, queries, page, 2).orderBy("rank").collect()]
+    assert [(r.rank, r.doc_id, r.ordinal, r.lexical_rank, r.total) for r in got] == [(1, 0, 1, 1, 3), (2, 1, 1, 2, 3), (3, 0, 4, 4, 3)]
+    assert got[0].score > 3
+
+
+def test_promotion_needs_a_score(spark):
+    scores = spark.createDataFrame([(1, 1, 0.2), (1, 2, 0.5)], "item_id long, doc_id long, score double")
+    exact = spark.createDataFrame([(1, 1), (1, 3)], "item_id long, doc_id long")
+    assert rows(evidence.promoted(scores, exact), "doc_id", "exact", "score") == [(1, True, pytest.approx(1.5)), (2, False, 0.5)]
+
+
+def test_targets_shorter_than_the_least_overlap(spark):
+    chunks = spark.createDataFrame([(0, 1, 0, 100), (0, 2, 90, 200)], "doc_id long, ordinal int, word_start int, word_end int")
+    targets = spark.createDataFrame([(0, 1, 85, 95), (0, 2, 80, 130)], "doc_id long, target int, s int, e int")
+    assert rows(chunking.target_matches(chunks, targets, "overlap"), "target", "ordinal") == [(1, 1), (2, 1), (2, 2)]
+    assert rows(chunking.target_matches(chunks, targets), "target", "ordinal") == [(1, 1), (2, 2)]
+    assert rows(chunking.best_chunks(chunking.target_matches(chunks, targets, "overlap")), "target", "ordinal") == [(1, 1), (2, 2)]
+
+
+def test_percentiles_round_half_to_even(spark):
+    df = spark.createDataFrame([(1, x) for x in (4, 1, 3, 2)], "g int, x long")
+    r = evaluation.percentiles(df, "x", "g").first()
+    assert (r.n, r.average, r.p50, r.p95, r.most) == (4, 2.5, 3, 4, 4)

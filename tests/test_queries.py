@@ -5,9 +5,10 @@ import os
 import duckdb
 import pytest
 
-from folio.plans import registry
+from folio.plans import registry, search
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLE_SQL = {**registry.QUERIES, **search.QUERIES}, {**registry.ORACLE_SQL, **search.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +20,10 @@ def sql():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, sql, name):
-    got = registry.QUERIES[name](spark, DATA)
-    want = sql.sql(registry.ORACLE_SQL[name])
+    got = QUERIES[name](spark, DATA)
+    want = sql.sql(ORACLE_SQL[name])
     order = sorted(got.columns)
     assert order == sorted(want.columns)
     rows = sorted(repr([r[c] for c in order]) for r in got.collect())
