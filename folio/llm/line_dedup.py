@@ -2,6 +2,9 @@
 
 A rolling hash over the hashes of the last lines chooses where a chunk ends, so inserted or deleted lines shift only
 the chunks near them. Chunks of several lines that repeat anywhere in the corpus are removed but for their first place.
+
+Chunks miss most shared passages: two ends have to fall inside one. passage_dedup compares every pair of neighbouring
+lines instead, and every long line, so that no passage of two lines or more escapes it.
 """
 
 from __future__ import annotations
@@ -15,6 +18,10 @@ from folio.llm.common import join_by_key, materialise, read
 WINDOW, DIVISOR = 2, 3
 #: Multipliers of the rolling hash: line i - j counts with BASE to the power j.
 BASE = 31
+#: Characters from which a line alone counts as a passage.
+LONG_LINE = 100
+#: Blanks that a line may consist of and still be empty.
+_BLANK = " \t\n\r"
 
 
 def _let(value: Column, body) -> Column:
@@ -78,6 +85,56 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def _passages(text: Column) -> Column:
+    """Array of (pos, last, key): every pair of neighbouring lines, blank ones between them passed over, and long lines."""
+
+    def digest(x: Column) -> Column:
+        return F.unhex(F.substring(F.sha2(x, 256), 1, 32))
+
+    def of(lines: Column, hashes: Column, full: Column) -> Column:
+        pairs = F.transform(F.slice(full, 1, F.greatest(F.size(full) - 1, F.lit(0))), lambda a, k: F.struct(a.alias("pos"), full[k + 1].alias("last"), digest(F.concat(hashes[a], hashes[full[k + 1]])).alias("key")))
+        alone = F.transform(F.filter(full, lambda a: F.char_length(lines[a]) >= LONG_LINE), lambda a: F.struct(a.alias("pos"), a.alias("last"), digest(hashes[a]).alias("key")))
+        return F.concat(pairs, alone)
+
+    def split(lines: Column) -> Column:
+        full = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(lines[i], F.lit(_BLANK)) != "")
+        return _let(F.transform(lines, lambda x: F.unhex(F.sha2(x, 256))), lambda h: _let(full, lambda f: of(lines, h, f)))
+
+    return _let(F.split(F.coalesce(text, F.lit("")), "\n"), split)
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, text (what is left), n_lines, n_removed (lines).
+
+    A pair of neighbouring lines, or a line of LONG_LINE characters, that stands at an earlier place too goes, with the
+    blank lines inside the pair; so of a repeated passage every line goes, wherever it begins. Places are ordered by
+    (doc_id, text's md5, position), a null id last. The first place of every line stays: a pair that holds it can't
+    have an earlier place. Lines count as equal by SHA-256, of which keys are 128 bits. Null texts count as empty and
+    are one empty line. Rows that repeat an id and a text get the same result. An empty table gives an empty one.
+    """
+    docs = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("md5"))
+    each = docs.select("doc_id", "md5", F.explode(_passages(F.col("text"))).alias("p"))
+    narrow = materialise(each.select(F.struct("doc_id", "md5").alias("row"), "p.pos", "p.last", "p.key"), "passages")
+    place = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("row.md5").alias("md5"), F.col("pos").alias("pos"))
+    repeated = materialise(narrow.groupBy("key").agg(F.count("*").alias("places"), F.min(place).alias("first")).where("places > 1"), "repeated")
+    later = join_by_key(narrow, repeated, "key", "places", narrow.count()).where(~place.eqNullSafe(F.col("first")))
+    gone = later.groupBy(F.col("row.doc_id").alias("__id"), F.col("row.md5").alias("__md5")).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", "last")))).alias("gone"))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (docs["md5"] == gone["__md5"]), "left")
+    cut = joined.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    return cut.select(
+        "doc_id",
+        F.array_join(F.transform(left, lambda i: F.col("lines")[i]), "\n").alias("text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_removed"),
+    )
+
+
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passage_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_chunks", "n_removed", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))

@@ -11,6 +11,7 @@ QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op4_passage_dedup": line_dedup.op4_passage_dedup,
     "op5_tokens": tokens.op5_tokens,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,

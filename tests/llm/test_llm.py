@@ -254,3 +254,30 @@ def test_pipeline(spark):
     assert all(_jaccard(a, b) < 0.8 for i, a in enumerate(sets) for b in sets[:i] if a and b)
     mixed = common.materialise(corpus_pipeline.mix_sources(spark, kept, sf), "test")
     assert corpus_pipeline.token_output(spark, mixed, sf).count() == mixed.count() == corpus_pipeline.run(spark, sf).count()
+
+
+def test_planted_passages_go_whole(spark):
+    """Passages of 2 to 6 lines, and a long line, planted at odd places: each stays where it stands first."""
+    rng = random.Random(5)
+    own = lambda: " ".join(f"u{rng.randrange(10**9)}" for _ in range(3))
+    planted = [[own() for _ in range(n)] for n in (2, 2, 2, 3, 3, 4, 6)] + [["long " * 30 + own()]]
+    docs = []
+    for i in range(60):
+        lines = [own() for _ in range(rng.randrange(4))]
+        for p in rng.sample(planted, 2):
+            lines += [*p, *(own() for _ in range(rng.randrange(1, 4)))]
+        docs.append((i, lines))
+    seen, want = set(), {}
+    for i, lines in docs:
+        want[i] = "\n".join(x for x in lines if x not in seen)
+        seen.update(lines)
+    got = line_dedup.passage_dedup(spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
+def test_passages_odd_rows(spark, odd, empty):
+    got = line_dedup.passage_dedup(odd).collect()
+    assert len(got) == len(ODD) and line_dedup.passage_dedup(empty).count() == 0
+    assert all(r.n_removed == 0 and r.text == (t or "") for r, (_, t, *_) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), sorted(ODD, key=lambda r: (r[0] is None, r[0])), strict=True))
+    short = spark.createDataFrame([(1, "Yes.\n\nNo."), (2, "Yes.\nMaybe.\n\nYes."), (None, "x\nYes.\n \nNo.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.passage_dedup(short).collect()} == {1: "Yes.\n\nNo.", 2: "Yes.\nMaybe.\n\nYes.", None: "x"}
