@@ -1,8 +1,9 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of a host's pages are merged into one tree of styles (tag and class from the root). Of every node, the entropy
-of its content and of its presentation over the host's pages says how much it matters: what looks and reads the same
-everywhere matters little. Branches of low importance, and those whose style names them as furniture, are removed.
+The DOMs of a host's pages are merged into one tree of styles (tag and class from the root). Of every node outside an
+article, the diversity of its content and of its presentation over the host's pages says how much it matters: what looks
+and reads the same everywhere matters little. Branches of low importance, and those whose style names them as furniture,
+are removed.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import bounded, materialise, read
 
-#: A node that at least PAGES distinct pages of a host have is removed below this importance (0 to 1); so is one within
-#: an article, where furniture is rarer, from ten times the pages and at a fourth of the importance.
+#: A node that at least PAGES distinct pages of a host have is removed below this importance (0 to 1), unless it stands
+#: within an article.
 PAGES, IMPORTANCE = 5, 0.2
 #: Hosts that a broadcast may hold.
 HOSTS = 100_000
@@ -125,41 +126,51 @@ def _hash(text: str) -> int:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page and style path that isn't furniture: hashes of content and presentation."""
+    """Of each page and style path outside articles that isn't furniture: hashes of content and presentation.
+
+    A page is told by its main content, its articles' text or else that of its longest node, so copies of one text
+    under different ads or menus are one page.
+    """
     for batch in batches:
         rows = []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            page, own = _hash(html or ""), {}
+            own, articles = {}, []
             for path, furniture, article, text in blocks(html):
-                if not furniture:
-                    own.setdefault((path, article), []).append(text)
-            rows += [(host, path, article, page, _hash("\n".join(texts)), len(texts)) for (path, article), texts in own.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "article", "page", "content", "look"])
+                if not furniture and article:
+                    articles.append(text)
+                elif not furniture:
+                    own.setdefault(path, []).append(text)
+            whole = {path: "\n".join(texts) for path, texts in own.items()}
+            page = _hash("\n".join(articles) or max(whole.values(), key=lambda x: (len(x), x), default=""))
+            rows += [(host, path, page, _hash(text), len(own[path])) for path, text in whole.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "page", "content", "look"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, article, n (distinct pages), importance of every node of the hosts' style trees.
+    """host, path, n (distinct pages), importance of every node outside articles of the hosts' style trees.
 
-    importance is the mean of two entropies over the distinct pages that have the node, each as a share of the largest
-    possible: of its content, and of its presentation (the blocks that it has). One page alone says 1.
+    importance is the mean of two diversities over the distinct pages that have the node: of its content, and of its
+    presentation (the blocks that it has). A diversity is the chance that two of the pages differ, so it doesn't sink
+    as a host grows. One page alone says 1.
     """
-    nodes = pages.select("host", "html").mapInArrow(_nodes, "host string, path string, article boolean, page long, content long, look long").distinct()
-    node = ["host", "path", "article"]
+    nodes = pages.select("host", "html").mapInArrow(_nodes, "host string, path string, page long, content long, look long").distinct()
+    node = ["host", "path"]
 
-    def entropy(of: str) -> DataFrame:
-        each = nodes.groupBy(*node, of).agg(F.count("*").alias("k"))
-        total = each.groupBy(*node).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("s"))
-        return total.select(*node, "n", F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0).alias(of))
+    def diversity(of: str) -> DataFrame:
+        each = nodes.groupBy(*node, of).agg(F.count("*").cast("double").alias("k"))
+        total = each.groupBy(*node).agg(F.sum("k").alias("m"), F.sum(F.col("k") * (F.col("k") - 1)).alias("s"))
+        return total.select(*node, F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * (F.col("m") - 1))).otherwise(1.0).alias(of))
 
-    both = entropy("content").join(entropy("look").drop("n"), node)
+    n = nodes.select(*node, "page").distinct().groupBy(*node).agg(F.count("*").alias("n"))
+    both = n.join(diversity("content"), node).join(diversity("look"), node)
     return both.select(*node, "n", ((F.col("content") + F.col("look")) / 2).alias("importance"))
 
 
 def main_text(html: str | None, low: set[str]) -> str:
-    """The page's blocks without furniture and low branches, joined by a blank; only its articles', where it has any."""
-    kept = [b for b in blocks(html) if not b[1] and b[0] not in low]
+    """The page's blocks without furniture and, outside articles, low branches, joined by a blank; only its articles', where it has any."""
+    kept = [b for b in blocks(html) if not b[1] and (b[2] or b[0] not in low)]
     if any(b[2] for b in kept):
         kept = [b for b in kept if b[2]]
     return " ".join(b[3] for b in kept)
@@ -176,7 +187,7 @@ def extract(pages: DataFrame) -> DataFrame:
     kept = [c for c in pages.columns if c != "text"]
     own = pages.select(*kept, host.alias("__host"))
     tree = style_tree(own.select(F.col("__host").alias("host"), "html"))
-    rare = F.when(F.col("article"), (F.col("n") >= 10 * PAGES) & (F.col("importance") < IMPORTANCE / 4)).otherwise((F.col("n") >= PAGES) & (F.col("importance") < IMPORTANCE))
+    rare = (F.col("n") >= PAGES) & (F.col("importance") < IMPORTANCE)
     low = materialise(tree.where(rare).groupBy(F.col("host").alias("__host")).agg(F.collect_set("path").alias("__low")), "low")
     joined = own.join(bounded(low, HOSTS), "__host", "left")
 

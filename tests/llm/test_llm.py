@@ -281,3 +281,26 @@ def test_passages_odd_rows(spark, odd, empty):
     assert all(r.n_removed == 0 and r.text == (t or "") for r, (_, t, *_) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), sorted(ODD, key=lambda r: (r[0] is None, r[0])), strict=True))
     short = spark.createDataFrame([(1, "Yes.\n\nNo."), (2, "Yes.\nMaybe.\n\nYes."), (None, "x\nYes.\n \nNo.")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.passage_dedup(short).collect()} == {1: "Yes.\n\nNo.", 2: "Yes.\nMaybe.\n\nYes.", None: "x"}
+
+
+def _texts(spark, pages):
+    rows = [(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)]
+    return [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("n", [49, 50, 1000])
+def test_articles_stay_whole_on_hosts_of_any_size(spark, n):
+    got = _texts(spark, [f"<article><h2>Summary</h2><h3>{('Pro', 'Con')[i % 2]}</h3><p>Page {i}</p></article>" for i in range(n)])
+    assert got == [f"Summary {('Pro', 'Con')[i % 2]} Page {i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [100, 10_000])
+def test_importance_does_not_sink_with_pages(spark, n):
+    got = _texts(spark, [f"<div class=x>Same words</div><div class=h>Section {i % 30}</div><div class=y>This is the text of page {i}</div>" for i in range(n)])
+    assert got == [f"Section {i % 30} This is the text of page {i}" for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "tag"), [(5, "div"), (60, "div"), (60, "article")])
+def test_copies_under_other_ads_stay(spark, n, tag):
+    got = _texts(spark, [f"<div class=z>Buy {i}</div><{tag} class=y><p>One text that all of the pages share</p></{tag}>" for i in range(n)])
+    assert all(t.endswith("One text that all of the pages share") for t in got)
