@@ -1,11 +1,14 @@
 """License scans: exact phrases, and fuzzy search for short notices.
 
 A notice with at most k errors in it still holds one of its k + 1 parts unharmed (pigeonhole). So the parts' exact
-places give all candidates; there the regex library's bounded-error matching verifies the edits and finds the span.
+places give all candidates; each is verified in its own window by the regex library's bounded-error matching, which
+finds the span. The rest of a window beside a match is searched again, so no notice hides one next to it.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import ahocorasick
@@ -57,22 +60,43 @@ class Scanner:
                 self.parts.add_word(notice[a:b], [*self.parts.get(notice[a:b], []), (n, a, b - a)])
         self.parts.make_automaton()
 
-    def _windows(self, text: str) -> dict[int, list[list[int]]]:
-        """Where each notice may stand: stretches of text, those that overlap as one."""
-        out: dict[int, list[list[int]]] = {}
+    def _windows(self, text: str) -> dict[int, set[tuple[int, int]]]:
+        """Where each notice may stand: a stretch of text for each of its parts that is found."""
+        out: dict[int, set[tuple[int, int]]] = {}
         for last, found in self.parts.iter(text):
             for n, at, size in found:
                 length, _, errors, _ = self.notices[n]
-                start = max(0, last + 1 - size - at - errors)
-                end = last + 1 - size - at + length + errors
-                own = out.setdefault(n, [])
-                # Parts' places come in the order of their ends, so starts may go back a little.
-                if own and start <= own[-1][1]:
-                    own[-1] = [min(start, own[-1][0]), max(end, own[-1][1])]
-                else:
-                    own.append([start, end])
+                start = last + 1 - size - at
+                out.setdefault(n, set()).add((max(0, start - errors), min(len(text), start + length + errors)))
         return out
 
+    def _matches(self, text: str, n: int, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, end, errors) of the notice's matches in the windows, those with fewer errors first; none overlap."""
+        length, _, errors, pattern = self.notices[n]
+        queue, kept, taken = [], [], []
+
+        def push(a: int, b: int) -> None:
+            if b - a >= length - errors and (m := pattern.search(text, a, b)):
+                heapq.heappush(queue, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for window in windows:
+            push(*window)
+        seen = set(windows)
+        while queue:
+            found, start, end, a, b = heapq.heappop(queue)
+            # Taken spans are apart, so the last one that starts before this match's end is the one that may overlap.
+            k = bisect_left(taken, (end,)) - 1
+            clash = taken[k] if k >= 0 and taken[k][1] > start else None
+            if not clash:
+                kept.append((start, end, found))
+                insort(taken, (start, end))
+            first, after = clash or (start, end)
+            for piece in ((a, min(b, first)), (max(a, after), b)):
+                if piece not in seen:
+                    seen.add(piece)
+                    push(*piece)
+        return kept
+
     def __call__(self, text: str | None) -> tuple:
         own = words(text)
         folded = b" " + b" ".join(own) + b" "
@@ -86,13 +110,15 @@ class Scanner:
         spans = []
         plain = folded[1:-1].decode("utf-8", "surrogatepass")
         for n, windows in self._windows(plain).items():
-            length, label, _, pattern = self.notices[n]
-            for start, end in windows:
-                for m in pattern.finditer(plain, start, min(end, len(plain))):
-                    errors = sum(m.fuzzy_counts)
-                    spans.append({"share": errors / length, "start": plain.count(" ", 0, m.start()), "end": plain.count(" ", 0, m.end()) + 1, "label": label, "errors": errors})
-        # Of notices that match one stretch, those with the fewest errors stand.
-        spans = [x for x in spans if not any(y["errors"] < x["errors"] and y["start"] < x["end"] and x["start"] < y["end"] for y in spans)]
+            length, label, _, _ = self.notices[n]
+            for start, end, errors in self._matches(plain, n, windows):
+                spans.append({"share": errors / length, "start": plain.count(" ", 0, start), "end": plain.count(" ", 0, end) + 1, "label": label, "errors": errors})
+        # Of notices that match one stretch, those with the fewest errors stand; one that fell takes no other with it.
+        spans.sort(key=lambda x: x["errors"])
+        found, spans = spans, []
+        for x in found:
+            if not any(y["errors"] < x["errors"] and y["start"] < x["end"] and x["start"] < y["end"] for y in spans):
+                spans.append(x)
         spans.sort(key=lambda x: (x["start"], x["end"], x["label"]))
         shares = [x.pop("share") for x in spans]
         score = 1.0 if places else 1 - min(shares, default=1.0)

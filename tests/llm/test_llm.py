@@ -304,3 +304,30 @@ def test_importance_does_not_sink_with_pages(spark, n):
 def test_copies_under_other_ads_stay(spark, n, tag):
     got = _texts(spark, [f"<div class=z>Buy {i}</div><{tag} class=y><p>One text that all of the pages share</p></{tag}>" for i in range(n)])
     assert all(t.endswith("One text that all of the pages share") for t in got)
+
+
+def test_adjoining_notices_all_stand():
+    scan = licenses.Scanner(licenses.PHRASES, licenses.NOTICES)
+    found = scan("this wrk is licensd under the gnu general public license version 2 this work is licensed under the gnu general public license version 3")
+    assert found[5] == ["gpl", "gpl-2.0", "gpl-3.0"]
+    assert [(x["start"], x["end"], x["label"], x["errors"]) for x in found[7]] == [(0, 12, "gpl-2.0", 2), (12, 24, "gpl-3.0", 0)]
+
+
+def test_adjoining_notices_against_each_alone():
+    """Lists of one notice with letters dropped or changed: every one that is found alone is found in the list."""
+    rng = random.Random(11)
+    for notice, label in licenses.NOTICES.items():
+        scan = licenses.Scanner({}, {notice: label})
+        for _ in range(12):
+            listed, want, at = [], [], 0
+            for _ in range(rng.randrange(2, 7)):
+                own = list(notice)
+                for k in rng.sample([i for i, c in enumerate(own) if c != " " and 0 < i < len(own) - 1 and " " not in own[i - 1 : i + 2]], rng.randrange(min(3, len(notice) // 10 + 1))):
+                    own[k] = rng.choice(["", "q"])
+                alone = scan("".join(own))[7]
+                assert len(alone) == 1
+                n = "".join(own).count(" ") + 1
+                want.append((at, at + n, alone[0]["errors"]))
+                at += n
+                listed.append("".join(own))
+            assert [(x["start"], x["end"], x["errors"]) for x in scan(" ".join(listed))[7]] == want
