@@ -56,7 +56,7 @@ def contains_all_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exact_phrase_match(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical.exact_phrases(chapters(spark, folder), questions(spark, folder), words=8)
+    return lexical.exact_phrases(chapters(spark, folder), questions(spark, folder))
 
 
 def fixed_chunks_short(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +134,7 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _firsts(spark: SparkSession, folder: str) -> DataFrame:
-    """Targets of an item: the documents that hold its first eight tokens in a row."""
+    """Targets of an item: the documents that hold all its tokens in a row."""
     return evaluation.first_ranks(lexical.ranked(_bm25(spark, folder), 50), exact_phrase_match(spark, folder))
 
 

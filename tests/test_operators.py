@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import excerpt, tokens
 from folio.operators import chunking, evaluation, evidence, fusion, lexical, vectors
+from folio.plans import registry
 
 
 def rows(df, *columns):
@@ -58,6 +59,15 @@ def test_phrases_keep_stop_words(spark):
     assert rows(lexical.contains_all(docs, queries), "item_id", "doc_id") == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
 
 
+def test_registered_phrases_are_whole(spark, tmp_path):
+    opening = "once upon a time in the old far"
+    texts = [f"{opening} north a fox ran", f"{opening} south a dog slept", f"x {opening} north a fox ran home"]
+    documents = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, f"{opening} north a fox ran")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert rows(registry.exact_phrase_match(spark, str(tmp_path)), "item_id", "doc_id") == [(1, 0), (1, 2)]
+
+
 def test_without_overlap_is_greedy(spark):
     df = spark.createDataFrame([(1, 5, 1, 10, 20), (1, 5, 2, 15, 25), (1, 5, 3, 20, 30), (1, 6, 4, 15, 25)], "item_id long, doc_id long, rank int, word_start int, word_end int")
     assert rows(fusion.without_overlap(df), "rank") == [(1,), (3,), (4,)]
