@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 #: The normal quantile of the 95 % Wilson interval; cut-offs of hit@k; gate thresholds.
 Z = 1.959963984540054
-CUTS = (1, 3, 5, 10)
-PROCEED_5, PROCEED_10, INVESTIGATE_5 = 0.70, 0.80, 0.50
+CUTS = (1, 3, 5, 10, 20, 50)
+PROCEED_5, PROCEED_10, SUBSET_5, INVESTIGATE_5 = 0.70, 0.80, 0.60, 0.50
+#: What cases are grouped by in reports; the categories of the gate's subset besides name-free usage.
+GROUPS = ("category", "query_style", "name_usage")
+SUBSET = ("name-free", "paraphrased-quotation")
 
 
 def first_ranks(ranked: DataFrame, targets: DataFrame) -> DataFrame:
@@ -26,18 +29,55 @@ def wilson(hits: Column, total: Column) -> tuple[Column, Column]:
 
 
 def rank_metrics(firsts: DataFrame, *by: str) -> DataFrame:
-    """by, n, mrr_10, hit_k for each cut-off, and the Wilson bounds of hit@10."""
+    """by, n, mrr_10, mrr_50, and hit_k, low_k, high_k (Wilson bounds) for each cut-off."""
+    mrr = [F.avg(F.when(F.col("first") <= k, 1.0 / F.col("first")).otherwise(0.0)).alias(f"mrr_{k}") for k in (10, 50)]
     hit = [F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)).alias(f"hit_{k}") for k in CUTS]
-    mrr = F.avg(F.when(F.col("first") <= 10, 1.0 / F.col("first")).otherwise(0.0)).alias("mrr_10")
-    out = firsts.groupBy(*by).agg(F.count("*").alias("n"), mrr, *hit, F.count(F.when(F.col("first") <= 10, 1)).alias("__hits"))
-    low, high = wilson(F.col("__hits"), F.col("n"))
-    return out.select(*by, "n", "mrr_10", *[f"hit_{k}" for k in CUTS], low.alias("low_10"), high.alias("high_10"))
+    hits = [F.count(F.when(F.col("first") <= k, 1)).alias(f"__hits_{k}") for k in CUTS]
+    out = firsts.groupBy(*by).agg(F.count("*").alias("n"), *mrr, *hit, *hits)
+    bounds = [x.alias(f"{name}_{k}") for k in CUTS for name, x in zip(("low", "high"), wilson(F.col(f"__hits_{k}"), F.col("n")), strict=True)]
+    return out.select(*by, "n", "mrr_10", "mrr_50", *[f"hit_{k}" for k in CUTS], *bounds)
 
 
-def gate(metrics: DataFrame) -> DataFrame:
-    """metrics with decision: proceed, investigate-once or stop-or-rethink."""
-    proceed = (F.col("hit_5") >= PROCEED_5) & (F.col("hit_10") >= PROCEED_10)
-    return metrics.withColumn("decision", F.when(proceed, "proceed").when(F.col("hit_5") >= INVESTIGATE_5, "investigate-once").otherwise("stop-or-rethink"))
+def subset(cases: DataFrame) -> DataFrame:
+    """The name-free and paraphrased cases. cases: first, category, query_style, name_usage."""
+    return cases.where((F.col("name_usage") == "name-free") | F.col("category").isin(*SUBSET))
+
+
+def reports(cases: DataFrame) -> DataFrame:
+    """report, value, rank metrics: a row for each value of GROUPS; styles and usages that are unspecified are left out."""
+    out = None
+    for by in GROUPS:
+        own = cases if by == "category" else cases.where(F.col(by) != "unspecified")
+        own = rank_metrics(own.withColumns({"report": F.lit(by), "value": F.col(by)}), "report", "value")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def target_recall(ranked: DataFrame, targets: DataFrame) -> DataFrame:
+    """item_id, target_recall_k for each cut-off: the share of the item's targets that are ranked so far up."""
+    hits = targets.select("item_id", "doc_id").distinct().join(ranked, ["item_id", "doc_id"], "left")
+    return hits.groupBy("item_id").agg(*[F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"target_recall_{k}") for k in CUTS])
+
+
+def _decided(metrics: DataFrame, proceed: Column) -> DataFrame:
+    both = (F.col("hit_5") >= PROCEED_5) & (F.col("hit_10") >= PROCEED_10)
+    return metrics.withColumn("decision", F.when(both & proceed, "proceed").when(F.col("hit_5") >= INVESTIGATE_5, "investigate-once").otherwise("stop-or-rethink"))
+
+
+def gate(metrics: DataFrame, special: DataFrame | None = None) -> DataFrame:
+    """metrics with decision: proceed, investigate-once or stop-or-rethink.
+
+    special: rank metrics of the subset, one row; where it is missing or has no cases, no decision is to proceed.
+    """
+    if special is None:
+        return _decided(metrics, F.lit(False))
+    one = special.agg(F.max("hit_5").alias("__subset"))
+    return _decided(metrics.crossJoin(F.broadcast(one)), F.coalesce(F.col("__subset") >= SUBSET_5, F.lit(False))).drop("__subset")
+
+
+def partial_gate(metrics: DataFrame) -> DataFrame:
+    """As gate, without the subset's condition: for benchmarks that don't say which cases belong to it."""
+    return _decided(metrics, F.lit(True))
 
 
 def ndcg(ranked: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:

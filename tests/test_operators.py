@@ -94,6 +94,29 @@ def test_metrics_and_gate(spark):
     assert 0 < r.low_10 < 0.5 < r.high_10 < 1
 
 
+def test_gate_needs_the_subset(spark):
+    columns = "item_id long, first int, category string, query_style string, name_usage string"
+    cases = spark.createDataFrame([(i, 1, "plot", "question", "named") for i in range(8)] + [(8, 30, "name-free", "unspecified", "unspecified"), (9, 5, "plot", "unspecified", "name-free")], columns)
+    metrics = evaluation.rank_metrics(cases)
+    special = evaluation.rank_metrics(evaluation.subset(cases))
+    good = evaluation.rank_metrics(evaluation.subset(cases.where("item_id <> 8")))
+    none = evaluation.rank_metrics(evaluation.subset(cases.where("item_id < 8")))
+    decisions = [evaluation.gate(metrics, x).first().decision for x in (None, none, special, good)]
+    assert decisions == ["investigate-once"] * 3 + ["proceed"]
+    assert evaluation.partial_gate(metrics).first().decision == "proceed"
+    r = metrics.first()
+    assert (r.hit_20, r.hit_50, r.mrr_50) == (0.9, 1.0, pytest.approx((8 + 1 / 5 + 1 / 30) / 10))
+    assert r.low_1 < r.hit_1 < r.high_1
+    got = rows(evaluation.reports(cases), "report", "value", "n")
+    assert got == [("category", "name-free", 1), ("category", "plot", 9), ("name_usage", "name-free", 1), ("name_usage", "named", 8), ("query_style", "question", 8)]
+
+
+def test_target_recall(spark):
+    ranked = spark.createDataFrame([(1, 5, 1), (1, 6, 4)], "item_id long, doc_id long, rank int")
+    targets = spark.createDataFrame([(1, 5), (1, 6), (1, 7), (1, 8), (2, 5)], "item_id long, doc_id long")
+    assert rows(evaluation.target_recall(ranked, targets), "item_id", "target_recall_1", "target_recall_5") == [(1, 0.25, 0.5), (2, 0.0, 0.0)]
+
+
 def test_excerpt(spark):
     df = text_of(spark, "short", "word, " * 100)
     got = [r.e for r in df.select(excerpt(F.col("text"), 20).alias("e")).collect()]
