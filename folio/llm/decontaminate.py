@@ -30,15 +30,15 @@ def words(text: str | None) -> list[bytes]:
 class Windows:
     """A set of windows over a vocabulary; lookup by rolling hash, then verified word by word."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int = WIDTH):
-        """items: (id as text, item text)."""
+    def __init__(self, items: list[tuple[str | None, str]], width: int = WIDTH):
+        """items: (id as text, item text); windows of an item without an id are found, but name no item."""
         self.ids: dict[bytes, int] = {}
         self.items: dict[tuple[int, ...], list[str]] = {}
         for item, text in items:
             coded = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
             for i in range(max(1, len(coded) - width + 1)) if coded else ():
                 own = self.items.setdefault(tuple(coded[i : i + width]), [])
-                if item not in own:
+                if item is not None and item not in own:
                     own.append(item)
         self.hashes: dict[int, np.ndarray] = {}
         for n in {len(w) for w in self.items}:
@@ -68,7 +68,7 @@ class Windows:
             rolled = self._rolled(rows)
             place = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
             for k in np.flatnonzero(hashes[place] == rolled):
-                if items := self.items.get(tuple(rows[k].tolist())):
+                if (items := self.items.get(tuple(rows[k].tolist()))) is not None:
                     hit[at[k] : at[k] + n] = True
                     found.update(items)
         return len(own), hit, found
@@ -79,10 +79,10 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def item_blocks(benchmark: DataFrame, block: int = BLOCK, id_col: str = "item_id") -> Iterator[list[tuple[str, str]]]:
+def item_blocks(benchmark: DataFrame, block: int = BLOCK, id_col: str = "item_id") -> Iterator[list[tuple[str | None, str]]]:
     """The items, in blocks of at most `block` windows (or one item), streamed to the driver a partition at a time."""
     out, n = [], 0
-    for item, text in benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), "text").toLocalIterator():
+    for item, text in benchmark.select(F.col(id_col).cast("string"), "text").toLocalIterator():
         k = len(words(text))
         if not k:
             continue
@@ -94,7 +94,7 @@ def item_blocks(benchmark: DataFrame, block: int = BLOCK, id_col: str = "item_id
     yield out
 
 
-def scan(df: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, text_col: str = "text", into: str = "found") -> DataFrame:
+def scan(df: DataFrame, items: list[tuple[str | None, str]], width: int = WIDTH, text_col: str = "text", into: str = "found") -> DataFrame:
     """df with a struct column: words, hit words, ids of the items found (sorted), spans of hit words (end-exclusive)."""
     held = df.sparkSession.sparkContext.broadcast(items)
     cache: list[Windows] = []
@@ -116,7 +116,7 @@ def scan(df: DataFrame, items: list[tuple[str, str]], width: int = WIDTH, text_c
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """docs' columns, n_words, n_hit (long), items (array of ids as text, sorted), spans (of hit words).
 
-    Null and empty texts have no words and no hits; so do items without words; items without an id are not searched.
+    Null and empty texts have no words and no hits; so do items without words. Items without an id are searched, but not in `items`.
     Repeated rows get the same result; an empty table gives an empty one; an empty benchmark finds nothing. A
     benchmark of more than `block` windows is searched in blocks, each of which is one scan over the documents.
     Columns of docs named like the four results are replaced.

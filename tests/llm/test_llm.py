@@ -331,3 +331,12 @@ def test_adjoining_notices_against_each_alone():
                 at += n
                 listed.append("".join(own))
             assert [(x["start"], x["end"], x["errors"]) for x in scan(" ".join(listed))[7]] == want
+
+
+@pytest.mark.parametrize("block", [10**6, 2])
+def test_items_without_an_id_are_searched(spark, block):
+    docs = spark.createDataFrame([(1, "so one two three it is"), (2, "clean"), (3, "four five")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "One two three"), (7, "four five")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.decontaminate(docs, benchmark, block=block).collect()}
+    assert got == {1: (3, []), 2: (0, []), 3: (2, ["7"])}
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, benchmark).collect()] == [2]
