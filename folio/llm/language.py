@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import held_out, read, sample_ids
+from folio.llm.common import held_out, read, sample_rows, small_batches
 
-#: Training texts a language at most, and the languages that may be learned.
-SAMPLE, LANGUAGES = 300, 500
+#: Training texts a language at most, and in all: with more languages than TEXTS / SAMPLE, each has fewer, but one at least.
+SAMPLE, TEXTS = 300, 30_000
 #: Centroids a language, rounds of clustering, hashed dimensions of the 2-grams and 3-grams.
 CLUSTERS, ROUNDS, BITS = 4, 8, 13
 DIM = 2 << BITS
@@ -48,16 +48,22 @@ class Model:
     """langs (sorted), idf, unit centroids, whose language each is, the cosine below which each language rejects."""
 
     def __init__(self, texts: dict[str, list[str]]):
-        self.langs = sorted(k for k, v in texts.items() if any(map(LETTER.search, v)))
-        tf = {k: np.log1p(np.array([counts(t) for t in texts[k] if LETTER.search(t)], np.float32)) for k in self.langs}
-        n = sum(map(len, tf.values()))
-        df = sum(((x > 0).sum(0) for x in tf.values()), np.zeros(DIM))
+        texts = {k: [t for t in v if LETTER.search(t)] for k, v in texts.items()}
+        self.langs = sorted(k for k, v in texts.items() if v)
+        # One language's vectors at a time are held: texts are counted twice instead.
+        n, df = sum(map(len, texts.values())), np.zeros(DIM)
+        for k in self.langs:
+            df += (self._logs(texts[k]) > 0).sum(0)
         self.idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-        own = [self._clusters(_unit(tf[k] * self.idf)) for k in self.langs]
+        own = [self._clusters(_unit(self._logs(texts[k]) * self.idf)) for k in self.langs]
         self.centroids = np.concatenate([c for c, _ in own]) if own else np.zeros((0, DIM), np.float32)
         self.of = np.repeat(np.arange(len(own)), [len(c) for c, _ in own]) if own else np.zeros(0, int)
         self.least = np.array([REJECT * least for _, least in own])
 
+    @staticmethod
+    def _logs(texts: list[str]) -> np.ndarray:
+        return np.log1p(np.array([counts(t) for t in texts], np.float32))
+
     @staticmethod
     def _clusters(x: np.ndarray) -> tuple[np.ndarray, float]:
         """Spherical k-means from the text nearest the mean and then the farthest ones; the smallest cosine of a text."""
@@ -81,13 +87,15 @@ class Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` documents a language that aren't held out: their text and lang, nothing else."""
+    """Fit on at most `sample` documents a language that aren't held out, TEXTS in all: their text and lang, nothing else.
+
+    Rows without doc_id, text or lang, and texts without a letter, say nothing; a row that repeats an id, a text and a
+    lang counts once; where nothing is left, the model knows no language and everything is `und`.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    if usable.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
-        raise ValueError(f"lang has more than {LANGUAGES} values")
-    chosen = sample_ids(usable.groupBy("lang", "doc_id").agg(F.lit(1)), sample, "lang", by="lang")
+    languages = usable.select("lang").distinct().count()
     texts: dict[str, list[str]] = {}
-    for r in usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).orderBy("doc_id", "text").collect():
+    for r in sample_rows(usable, max(1, min(sample, TEXTS // max(1, languages))), "lang", by="lang"):
         texts.setdefault(r.lang, []).append(r.text)
     return Model(texts)
 
@@ -96,8 +104,10 @@ def identify(docs: DataFrame, model: Model, into: str = "language") -> DataFrame
     """docs with a struct column: lang_pred, score (the cosine, 0 to 1), rejected.
 
     A null text, or one without a letter, is `und` with score 0 and rejected; so is any text where nothing was learned.
-    Ties go to the language first by code point. Repeated rows get the same result; an empty table gives an empty one.
+    Ties go to the language first by code point. A very long text is one vector of the same size. Repeated rows get the
+    same result; an empty table gives an empty one. A column named `into` is replaced.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
@@ -109,9 +119,15 @@ def identify(docs: DataFrame, model: Model, into: str = "language") -> DataFrame
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents that aren't rejected; the model is learned from docs themselves."""
-    model = train(docs)
-    return identify(docs.withColumn("__language", F.lit(None)), model, into="__language").where("not __language.rejected").select(*docs.columns)
+    """The documents that aren't rejected, with their columns; the model is learned from docs themselves.
+
+    Null texts and those without a letter are rejected and go, an empty table stays empty, rows that repeat stay or go
+    together, and where no row has a language, all are rejected. A column named __language is kept as it is.
+    """
+    into = "__language"
+    while into in docs.columns:
+        into += "_"
+    return identify(docs, train(docs), into=into).where(f"not {into}.rejected").select(*docs.columns)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

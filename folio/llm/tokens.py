@@ -13,6 +13,7 @@ from __future__ import annotations
 import array
 import bisect
 import functools
+import json
 import math
 import operator
 import re
@@ -26,15 +27,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialise, read, workspace
+from folio.llm.common import materialise, read, small_batches, workspace
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The id that ends each document.
 END = 0
 #: Documents in a shard, on average; at most MOST_SHARDS shards.
 DOCS_PER_SHARD, MOST_SHARDS = 4000, 10_000
-#: Strings whose ids a worker remembers, twice over: those of late, and those of before that are still in use.
-REMEMBERED = 150_000
+#: Words after a blank whose ids a worker remembers, and strings of any other kind; each twice over: those of late, and
+#: those of before that are still in use. A string takes about 200 bytes.
+SPACED, OTHERS = 150_000, 15_000
+#: The steps before the merges for which SPLIT stands. Texts for any other tokenizer go through the library whole.
+STEPS = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "truncation": None, "padding": None}
+MERGES = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 #: The splits that the tokenizer makes before its merges, for the characters of PLAIN alone.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Their Latin-1 bytes: ASCII that shows, white space, letters of the upper half.
@@ -62,12 +67,12 @@ def byte_alphabet() -> dict[int, str]:
 class Remembered(dict):
     """make(key) for each key, remembered; what isn't asked for again is forgotten after a while."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = OTHERS):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.before = dict(self)
             self.clear()
         found = self.before.get(key)
@@ -78,20 +83,23 @@ class Remembered(dict):
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    The library cuts a text into pieces and merges each by itself. Plain texts are cut here by the same rule, and the
-    library's model merges the pieces, each of them once; all other texts go through the library whole.
+    The library cuts a text into pieces and merges each by itself. Where the file's steps are STEPS and MERGES, plain
+    texts are cut here by the same rule, and the library's model merges the pieces, each of them once; all other texts,
+    and all texts of other tokenizers, go through the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        said = json.loads(self.library.to_str())
+        self.known_steps = all(said.get(k) == v for k, v in STEPS.items()) and all(said["model"].get(k) == v for k, v in MERGES.items())
         self.size = self.library.get_vocab_size()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.alphabet, self.merge = byte_alphabet(), self.library.model.tokenize
         self.pieces = Remembered(self._piece)
-        self.spaced = Remembered(lambda word: self._word(" ", word, self.spaced))
+        self.spaced = Remembered(lambda word: self._word(" ", word, self.spaced), SPACED)
         self.first = Remembered(lambda word: self._word("", word, self.first))
         self.space, self.code = self.alphabet[0x20], "H" if self.type.itemsize == 2 else "I"
 
@@ -130,7 +138,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         """The ids of text, little-endian in self.type."""
         text = text or ""
-        if self._is_plain(text) and not any(x in text for x in self.special):
+        if self.known_steps and self._is_plain(text) and not any(x in text for x in self.special):
             return self._plain(text)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
@@ -215,6 +223,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, docs_per
     each other in the order of a checksum of their ids. An empty table makes a folder without documents.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or tokenizer_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     shards = min(MOST_SHARDS, max(1, math.ceil(docs.count() / docs_per_shard)))
@@ -251,6 +260,7 @@ def read_tokens(spark: SparkSession, folder: str, checksums: bool = False) -> Da
 
     checksums: ids_crc32 (the unsigned crc32 of those bytes) instead of ids.
     """
+    small_batches(spark)
     order = [r.token_id for r in spark.read.schema("rank long, token_id long").parquet(f"{folder}/ranks").orderBy("rank").collect()]
     held = spark.sparkContext.broadcast(np.array(order, "<u4"))
     name, kind = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())

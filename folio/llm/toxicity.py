@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import held_out, read, sample_ids
+from folio.llm.common import held_out, read, sample_ids, sample_rows, small_batches
 
 #: Labelled documents that training sees at most.
 SAMPLE = 6000
@@ -101,10 +101,14 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Fit on at most `sample` labelled documents that aren't held out; nothing else of a row but text and toxic."""
+    """Fit on at most `sample` labelled documents that aren't held out; nothing else of a row but text and toxic.
+
+    Labels without a doc_id or toxic are left out; a document is toxic if one of its labels says so. Null and empty
+    texts say nothing; a row that repeats an id and a text counts once; without labels of both kinds the weights are 0.
+    """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = sample_ids(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), sample, "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
+    rows = sample_rows(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), sample, "toxic")
     return fit([r.text for r in rows], [int(r.toxic > 0) for r in rows])
 
 
@@ -112,8 +116,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], into: str = "toxicit
     """docs with a struct column: score of the text and spans of its offending sentences.
 
     Texts that are null, empty or without words have no sentences and score 0; a text of one endless sentence is one
-    instance. Repeated rows get the same result; an empty table gives an empty one.
+    instance. Repeated rows get the same result; an empty table gives an empty one. A column named `into` is replaced.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     cache: list[Scorer] = []
 
