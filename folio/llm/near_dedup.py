@@ -9,16 +9,16 @@ across these components, so no link that banding shows is lost. Every link is co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from folio.llm.common import join_by_key, materialise, read
+from folio.llm.common import bounded, join_by_key, materialise, read, small_batches
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 80, 100
 #: Bands and their rows: at a similarity of 0.8 a pair shares no band in 6 of 100,000 cases.
@@ -105,12 +105,13 @@ def _sign(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("row"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([None if s is None else band_keys(s).view(np.int64) for s in signed], pa.list_(pa.int64())),
                         pa.array([None if s is None else s.astype(np.uint8).tobytes() for s in signed], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands", "signed"],
+                    names=["doc_id", "row", "n_shingles", "digest", "bands", "signed"],
                 )
 
     return run
@@ -218,19 +219,50 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, sets:
     return sides.groupBy(*where).applyInPandas(lambda x: _across(x[x.asks], x[~x.asks], numerator, denominator), "a long, b long")
 
 
+def _row_key() -> Column:
+    """16 bytes that tell rows apart by doc_id (null is a value of its own) and text."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.length(F.col("doc_id").cast("string")), F.lit(-1)), F.col("doc_id").cast("string"), F.col("text"))))
+
+
+def _classified(signed: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """One row a class of equal sets, told apart by the sets' 128-bit digests; and what gives frames with digest their class's number c.
+
+    c has 64 bits. Where two digests share one (a few in ten billion), the larger digests get another.
+    """
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("signed").alias("signed"))
+    classes = materialise(classes.select("digest", F.col("rep.doc_id").alias("rep"), "rep.row", "n", "bands", "signed"), "classes")
+    clash = classes.groupBy(F.xxhash64("digest").alias("__c")).agg(F.count("*").alias("m"), F.min("digest").alias("__low")).where("m > 1").select("__c", "__low")
+    clash = materialise(clash, "clash")
+    if not clash.limit(1).count():
+        return classes.withColumn("c", F.xxhash64("digest")), lambda df: df.withColumn("c", F.xxhash64("digest"))
+    clash = bounded(clash, 100_000)
+
+    def numbered(df: DataFrame) -> DataFrame:
+        own = F.xxhash64("digest")
+        out = df.withColumn("__c", own).join(clash, "__c", "left")
+        return out.withColumn("c", F.when(F.col("__low").isNull() | (F.col("digest") == F.col("__low")), own).otherwise(F.xxhash64("digest", F.lit(1)))).drop("__c", "__low")
+
+    return numbered(classes), numbered
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     Linked are documents with denominator * common shingles >= numerator * all their shingles. Null, empty and blank
     texts have no shingles, no links and themselves as component; texts with one set always share a component, rows
-    that repeat an id included. A null id is never a component's id unless there is no other. An empty table gives an
-    empty one.
+    that repeat an id included. A null id is never a component's id unless there is no other. A very long text is one
+    set, compared whole. An empty table gives an empty one.
     """
-    docs = docs.select("doc_id", "text")
-    signed = materialise(docs.mapInArrow(_sign(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, bands array<long>, signed binary"), "signed")
-    own_class = F.xxhash64("digest").alias("c")
-    classes = signed.where("n_shingles > 0").groupBy(own_class).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("bands").alias("bands"), F.any_value("signed").alias("signed"))
-    classes = materialise(classes, "classes")
+    out = _components(docs, words, numerator, denominator).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _components(docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
+    """doc_id, row (see _row_key), n_shingles, component_id, label (of the component; null without shingles) of each row."""
+    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", _row_key().alias("row"))
+    signed = materialise(docs.mapInArrow(_sign(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row binary, n_shingles long, digest binary, bands array<long>, signed binary"), "signed")
+    classes, numbered = _classified(signed)
     # Buckets of at least two classes, and of each a leader by a hash that differs from band to band.
     places = classes.select("c", F.posexplode("bands").alias("band", "key"))
     chosen = places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("c", "key").alias("h"), "c")).alias("leader")).where("n > 1")
@@ -241,9 +273,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     pairs = pairs.join(near.select(F.col("c").alias("a"), F.col("signed").alias("x")), "a").join(near.select(F.col("c").alias("b"), F.col("signed").alias("y")), "b")
     pairs = materialise(pairs.withColumn("like", agreement("x", "y")).where(F.col("like") >= LEAST).select("a", "b", "like"), "pairs")
     # Full sets of all that share a bucket.
-    needed = members.select("c").distinct().join(classes.select("c", "rep"), "c")
-    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("text")
-    sets = texts.mapInArrow(_sets(words), "digest binary, shingles array<long>").select(F.xxhash64("digest").alias("c"), "shingles")
+    needed = members.select("c").distinct().join(classes.select("c", "row"), "c").select("row")
+    # A class's text is read once, however many rows repeat its id and text.
+    texts = docs.join(needed, "row", "left_semi").dropDuplicates(["row"]).select("text")
+    sets = numbered(texts.mapInArrow(_sets(words), "digest binary, shingles array<long>")).select("c", "shingles")
     sets = materialise(sets, "sets")
     # First each class's likeliest partner, then what may still join two components.
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.struct("like", "a", "b").alias("p")).groupBy("c").agg(F.max("p").alias("p"))
@@ -256,12 +289,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     labels = _merged(labels, more)
     known = classes.select("c", "rep", "n").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     ids = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = materialise(known.join(ids, "label").select("c", "n", "component_id"), "components")
-    narrow = signed.select("doc_id", "n_shingles", own_class)
+    found = materialise(known.join(ids, "label").select("c", "n", "component_id", "label"), "components")
+    narrow = signed.select("doc_id", "row", "n_shingles", "digest")
     total = signed.count()
-    out = join_by_key(narrow.where("n_shingles > 0"), found, "c", "n", total).select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(narrow.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = join_by_key(numbered(narrow.where("n_shingles > 0")), found, "c", "n", total).select("doc_id", "row", "n_shingles", "component_id", "label")
+    return out.unionByName(narrow.where("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label")))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -272,10 +304,21 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id; all columns of docs."""
-    kept = materialise(near_duplicates(docs, words).where("kept").select("doc_id").distinct(), "kept")
-    kept = kept.withColumnRenamed("doc_id", "__kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """One document of each group of near duplicates: the one with the smallest doc_id; all columns of docs.
+
+    Of rows that share that id, the one with the smallest md5 of id and text; of rows that repeat an id and a text, any one.
+    Null, empty and blank texts are groups of their own, one for each id (a null id counts as one). An empty table gives
+    an empty one. Columns of docs named __row are not allowed.
+    """
+    found = _components(docs, words, NUMERATOR, DENOMINATOR).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    group = ["label", F.col("label").isNull().alias("blank"), F.when(F.col("label").isNull(), F.struct("doc_id", F.col("doc_id").isNull().alias("none"))).alias("own")]
+    kept = materialise(found.groupBy(*group).agg(F.min("row").alias("__row"), F.count("*").alias("m")).select("__row", "m"), "kept")
+    keyed = docs.withColumn("__row", _row_key())
+    # Only where rows share a kept id may a key stand twice.
+    once = keyed.join(kept.where("m = 1").select("__row"), "__row", "left_semi")
+    if kept.where("m > 1").limit(1).count():
+        once = once.unionByName(keyed.join(kept.where("m > 1").select("__row"), "__row", "left_semi").dropDuplicates(["__row"]))
+    return once.drop("__row")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
