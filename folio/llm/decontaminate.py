@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import LOWER, UPPER, read
+from folio.llm.common import LOWER, UPPER, materialise, read, small_batches
 
 #: Item words in a window; an item with fewer is one window.
 WIDTH = 10
-#: Windows that are broadcast at once; a larger benchmark is searched in blocks of so many.
+#: Windows that are broadcast at once (some 16 MB and their vocabulary); a larger benchmark is searched in blocks of so many.
 BLOCK = 1_000_000
+#: Columns that a search in blocks adds to the documents.
+_FOUND = "__found"
 #: Words are maximal runs of bytes other than these; A-Z are folded.
 _NOT = [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in _NOT else b for b in range(256))
@@ -28,49 +30,59 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """A set of windows over a vocabulary; lookup by rolling hash, then verified word by word."""
+    """A set of windows over a vocabulary; lookup by rolling hash, then verified word by word.
+
+    Besides the vocabulary, a window takes 16 bytes: its hash, and where it starts among the items' coded words.
+    """
 
     def __init__(self, items: list[tuple[str | None, str]], width: int = WIDTH):
         """items: (id as text, item text); windows of an item without an id are found, but name no item."""
-        self.ids: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], list[str]] = {}
+        self.vocabulary: dict[bytes, int] = {}
+        self.names, coded, starts = [], [], {}
+        at = 0
         for item, text in items:
-            coded = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            for i in range(max(1, len(coded) - width + 1)) if coded else ():
-                own = self.items.setdefault(tuple(coded[i : i + width]), [])
-                if item is not None and item not in own:
-                    own.append(item)
-        self.hashes: dict[int, np.ndarray] = {}
-        for n in {len(w) for w in self.items}:
-            self.hashes[n] = np.unique(self._rolled(np.array([w for w in self.items if len(w) == n], np.uint64)))
+            own = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)), np.uint32)
+            if len(own):
+                n = min(width, len(own))
+                starts.setdefault(n, []).append(np.arange(at, at + len(own) - n + 1))
+                self.names.append((at, item))
+                coded.append(own)
+                at += len(own)
+        self.coded = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
+        self.begins = np.array([a for a, _ in self.names], np.int64)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, parts in starts.items():
+            own = np.concatenate(parts)
+            rolled = self._rolled(self.coded, own, n)
+            order = np.argsort(rolled, kind="stable")
+            self.windows[n] = rolled[order], own[order]
 
     @staticmethod
-    def _rolled(columns: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(columns), np.uint64)
-        for i in range(columns.shape[1]):
-            out = out * _BASE + columns[:, i]
+    def _rolled(coded: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for i in range(n):
+            out = out * _BASE + coded[at + i]
         return out
 
     def find(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
         """Number of words, which of them are hit, ids of the items that occur."""
         own = words(text)
-        coded = np.fromiter(map(self.ids.get, own, [0] * len(own)), np.uint64, len(own))
+        coded = np.fromiter(map(self.vocabulary.get, own, [0] * len(own)), np.uint32, len(own))
         hit, found = np.zeros(len(own), bool), set()
-        known = coded > 0
-        for n, hashes in self.hashes.items():
-            if len(own) < n:
-                continue
-            runs = np.concatenate([[0], np.cumsum(known)])
-            at = np.flatnonzero(runs[n:] - runs[:-n] == n)
+        runs = np.concatenate([[0], np.cumsum(coded > 0)])
+        for n, (hashes, starts) in self.windows.items():
+            at = np.flatnonzero(runs[n:] - runs[:-n] == n) if len(own) >= n else ()
             if not len(at):
                 continue
-            rows = coded[at[:, None] + np.arange(n)]
-            rolled = self._rolled(rows)
-            place = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
-            for k in np.flatnonzero(hashes[place] == rolled):
-                if (items := self.items.get(tuple(rows[k].tolist()))) is not None:
-                    hit[at[k] : at[k] + n] = True
-                    found.update(items)
+            rolled = self._rolled(coded, at, n)
+            low, high = np.searchsorted(hashes, rolled), np.searchsorted(hashes, rolled, "right")
+            for k in np.flatnonzero(high > low):
+                here = coded[at[k] : at[k] + n]
+                for start in starts[low[k] : high[k]]:
+                    if (self.coded[start : start + n] == here).all():
+                        hit[at[k] : at[k] + n] = True
+                        if (item := self.names[np.searchsorted(self.begins, start, "right") - 1][1]) is not None:
+                            found.add(item)
         return len(own), hit, found
 
 
@@ -96,17 +108,15 @@ def item_blocks(benchmark: DataFrame, block: int = BLOCK, id_col: str = "item_id
 
 def scan(df: DataFrame, items: list[tuple[str | None, str]], width: int = WIDTH, text_col: str = "text", into: str = "found") -> DataFrame:
     """df with a struct column: words, hit words, ids of the items found (sorted), spans of hit words (end-exclusive)."""
-    held = df.sparkSession.sparkContext.broadcast(items)
-    cache: list[Windows] = []
+    small_batches(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(Windows(items, width))
 
     @F.pandas_udf(RESULT)
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if not cache:
-            cache.append(Windows(held.value, width))
         for batch in texts:
             rows = []
             for text in batch:
-                n, hit, found = cache[0].find(text)
+                n, hit, found = held.value.find(text)
                 rows.append((n, int(hit.sum()), sorted(found), [{"start": a, "end": b} for a, b in _spans(hit)]))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
@@ -118,14 +128,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
 
     Null and empty texts have no words and no hits; so do items without words. Items without an id are searched, but not in `items`.
     Repeated rows get the same result; an empty table gives an empty one; an empty benchmark finds nothing. A
-    benchmark of more than `block` windows is searched in blocks, each of which is one scan over the documents.
-    Columns of docs named like the four results are replaced.
+    benchmark of more than `block` windows is searched in blocks, one after the other: each is one scan over the
+    documents, written before the next, so that one block's windows are held at a time.
+    Columns of docs named like the four results are replaced; names that begin with __found are not allowed.
     """
     out = docs.drop("n_words", "n_hit", "items", "spans")
     kept, parts = out.columns, []
+    if any(c.lower().startswith(_FOUND) for c in kept):
+        raise ValueError(f"columns of docs may not begin with {_FOUND}")
     for k, items in enumerate(item_blocks(benchmark, block)):
-        out = scan(out, items, width, into=f"__found{k}")
-        parts.append(F.col(f"__found{k}"))
+        out = scan(materialise(out, "block") if k else out, items, width, into=f"{_FOUND}{k}")
+        parts.append(F.col(f"{_FOUND}{k}"))
     if len(parts) == 1:
         return out.select(*kept, parts[0]["n_words"].alias("n_words"), parts[0]["n_hit"].alias("n_hit"), parts[0]["items"].alias("items"), parts[0]["spans"].alias("spans"))
     items = F.array_sort(F.array_distinct(F.concat(*[p["items"] for p in parts])))
@@ -141,10 +154,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit; all their columns."""
+    """The documents without a hit; all their columns.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; an empty table gives an empty one;
+    an empty benchmark hits nothing. Blocks as in decontaminate, which also says what names are not allowed.
+    """
     columns = docs.columns
-    for items in item_blocks(benchmark):
-        docs = scan(docs, items, into="__found").where("__found.n_hit = 0").select(*columns)
+    if any(c.lower().startswith(_FOUND) for c in columns):
+        raise ValueError(f"columns of docs may not begin with {_FOUND}")
+    for k, items in enumerate(item_blocks(benchmark)):
+        docs = scan(materialise(docs, "block") if k else docs, items, into=_FOUND).where(f"{_FOUND}.n_hit = 0").select(*columns)
     return docs
 
 
