@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import join_by_key, materialise, read
+from folio.llm.common import join_by_key, materialise, read, workspace
 
 #: Snapshot digests that a bucket (and its filter) holds on average.
 BUCKET = 20_000
+#: Repeated digests (32 bytes each) that a broadcast may hold; beyond, all texts are grouped by their bytes.
+REPEATED = 200_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -104,32 +106,59 @@ def _classes(narrow: DataFrame, buckets: int) -> DataFrame:
     return out.withColumn("bucket", (F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long") % buckets).cast("int"))
 
 
+def write_snapshot(digests: DataFrame, folder: str) -> None:
+    """Write an immutable snapshot's classes and their filters, once for all batches that are held against it.
+
+    digests: digest, id of each row. folder/classes: digest, keep, n, bucket; folder/filters: a filter for each bucket.
+    """
+    spark = digests.sparkSession
+    buckets = max(1, digests.count() // BUCKET)
+    _classes(digests, buckets).withColumn("buckets", F.lit(buckets)).write.option("compression", "zstd").parquet(f"{folder}/classes")
+    own = spark.read.parquet(f"{folder}/classes").select("bucket", "digest")
+    filters = own.groupBy("bucket").applyInPandas(_build, "bucket int, seed long, length long, segments long, fingerprints binary")
+    filters.write.option("compression", "zstd").parquet(f"{folder}/filters")
+
+
+def against_snapshot(digests: DataFrame, folder: str) -> DataFrame:
+    """digest, keep, n of all classes of a batch (digest, id) and the snapshot in folder.
+
+    What a bucket's filter excludes is new for certain and grouped among the batch alone; only positives join the
+    snapshot's buckets.
+    """
+    spark = digests.sparkSession
+    snapshot, filters = spark.read.parquet(f"{folder}/classes"), spark.read.parquet(f"{folder}/filters")
+    buckets = (snapshot.select("buckets").first() or [1])[0]
+    batch = _classes(digests, buckets)
+    screened = materialise(batch.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, "digest binary, keep long, n long, bucket int, maybe boolean"), "screened")
+    positive = screened.where("maybe").select("digest", F.col("keep").alias("keep2"), F.col("n").alias("n2"))
+    merged = snapshot.join(positive, "digest", "full_outer").select("digest", F.greatest("keep", "keep2").alias("keep"), (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"))
+    return merged.unionByName(screened.where("not maybe").select("digest", "keep", "n"))
+
+
 def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: its id, keep_id, group_size, kept, text_sha256.
 
     in_snapshot: a condition on docs; the rows where it holds are the snapshot, all others the incoming batch. The
     result is the same for any. Null texts count as empty. Of equal texts the row with the largest id stays; rows that
     repeat an id and a text stay together; a null id stays only if its class has no other. An empty table gives an
-    empty one. Different texts with one SHA-256 would end the job with an error instead of being merged.
+    empty one. Very long texts are compared by digest and then, if theirs is repeated, byte for byte; different texts
+    with one SHA-256 would end the job with an error instead of being merged.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
     narrow = materialise(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.coalesce(in_snapshot, F.lit(False)).alias("old")), "digests")
-    total, old = narrow.agg(F.count("*"), F.count(F.when(F.col("old"), 1))).first()
-    buckets = max(1, old // BUCKET)
-    snapshot, batch = _classes(narrow.where("old"), buckets), _classes(narrow.where("not old"), buckets)
-    filters = snapshot.select("bucket", "digest").groupBy("bucket").applyInPandas(_build, "bucket int, seed long, length long, segments long, fingerprints binary")
-    screened = materialise(batch.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, "digest binary, keep long, n long, bucket int, maybe boolean"), "screened")
-    positive = screened.where("maybe").select("digest", F.col("keep").alias("keep2"), F.col("n").alias("n2"))
-    merged = snapshot.join(positive, "digest", "full_outer").select("digest", F.greatest("keep", "keep2").alias("keep"), (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"))
-    classes = merged.unionByName(screened.where("not maybe").select("digest", "keep", "n"))
-    # Byte checks: copies collapse before the shuffle, so a hot text is one row a task.
-    bodies = docs.select(digest.alias("digest"), text.alias("body")).groupBy("digest", "body").agg(F.count("*").alias("m"))
-    bodies = bodies.groupBy("digest").agg(F.count("*").alias("bodies"), F.sum("m").alias("m"))
-    same = (F.col("bodies") == 1) & (F.col("m") == F.col("n"))
-    classes = classes.join(bodies, "digest").withColumn("n", F.when(same, F.col("n")).otherwise(F.raise_error(F.lit("different texts share a SHA-256"))))
-    classes = materialise(classes.select("digest", "keep", "n"), "classes")
-    out = join_by_key(narrow, classes, "digest", "n", total)
+    write_snapshot(narrow.where("old"), folder := workspace(docs.sparkSession, "snapshot"))
+    classes = materialise(against_snapshot(narrow.where("not old"), folder), "classes")
+    # Byte checks of what is repeated. Copies collapse before the shuffle, so a hot text is one row a task.
+    repeated = classes.where("n > 1").select("digest", "n")
+    bodies = docs.select(digest.alias("digest"), text.alias("body"))
+    if repeated.limit(REPEATED + 1).count() <= REPEATED:
+        bodies = bodies.join(F.broadcast(repeated.select("digest")), "digest", "left_semi")
+    bodies = bodies.groupBy("digest", "body").agg(F.count("*").alias("m")).groupBy("digest").agg(F.count("*").alias("bodies"), F.sum("m").alias("m"))
+    odd = bodies.join(repeated, "digest").where((F.col("bodies") > 1) | (F.col("m") != F.col("n"))).limit(1).count()
+    if odd:
+        raise ValueError("different texts share a SHA-256")
+    out = join_by_key(narrow, classes, "digest", "n", narrow.count())
     kept = F.col("id").eqNullSafe(F.col("keep"))
     return out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
