@@ -54,14 +54,16 @@ def _chunks(text: Column) -> Column:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, text (what is left), n_lines, n_chunks, n_removed (lines).
 
-    The first place of a chunk, by (doc_id, position), stays; a null id comes last. Only chunks of two lines or more
-    with some text besides white space are removed. Null texts count as empty and are one empty line. Rows that repeat
-    an id and a text get the same result. An empty table gives an empty one.
+    The first place of a chunk, by (doc_id, the text's md5, position), stays; a null id comes last. Only chunks of two
+    lines or more with some text besides white space are removed. Null texts count as empty and are one empty line.
+    Rows that repeat an id and a text get the same result; rows that repeat an id alone are different places. Ids may
+    have any type that can be ordered. Very long texts are cut in time linear in their lines. An empty table gives an
+    empty one.
     """
     docs = docs.select("doc_id", "text")
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("c.pos").alias("pos"))
     row = F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
-    each = docs.select("doc_id", row.alias("row"), F.explode(_chunks(F.col("text"))).alias("c")).where("c.n > 1").withColumn("key", F.unhex(F.md5("c.body")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row.md5").alias("md5"), F.col("k").alias("pos"))
+    each = docs.select("doc_id", row.alias("row"), F.posexplode(_chunks(F.col("text"))).alias("k", "c")).where("c.n > 1").withColumn("key", F.unhex(F.md5("c.body")))
     # Grouping by the bytes is the byte comparison: copies collapse before the shuffle, and two bodies never meet.
     groups = each.where(F.trim(F.col("c.body"), F.lit(" \t\n\r")) != "").groupBy("key", "c.body").agg(F.count("*").alias("places"), F.min(place).alias("first"))
     # A key with two bodies (never seen) is left alone.
@@ -69,16 +71,16 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     repeated = materialise(repeated.select("key", "places", "first"), "repeated")
     narrow = materialise(each.select("row", place.alias("place"), "key"), "places")
     total = narrow.count()
-    gone = join_by_key(narrow, repeated, "key", "places", total).where(F.col("place") != F.col("first"))
+    gone = join_by_key(narrow, repeated, "key", "places", total).where(~F.col("place").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("row.doc_id").alias("__id"), F.col("row.md5").alias("__md5")).agg(F.collect_set("place.pos").alias("gone"))
     own = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit(""))))
     joined = own.join(gone, own["doc_id"].eqNullSafe(gone["__id"]) & (own["__md5"] == gone["__md5"]), "left").select("doc_id", "text", "gone")
     cut = joined.select("doc_id", F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"), _chunks(F.col("text")).alias("chunks"))
-    left = F.expr("filter(chunks, c -> not array_contains(gone, c.pos))")
-    lost = F.expr("aggregate(chunks, 0, (n, c) -> n + if(array_contains(gone, c.pos), c.n, 0))")
+    left = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone")
+    lost = F.expr("aggregate(gone, 0, (n, k) -> n + chunks[k].n)")
     return cut.select(
         "doc_id",
-        F.array_join(F.transform(left, lambda c: c["body"]), "\n").alias("text"),
+        F.array_join(F.transform(left, lambda k: F.col("chunks")[k]["body"]), "\n").alias("text"),
         F.expr("aggregate(chunks, 0, (n, c) -> n + c.n)").cast("long").alias("n_lines"),
         F.size("chunks").cast("long").alias("n_chunks"),
         lost.cast("long").alias("n_removed"),
@@ -141,15 +143,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) lines from documents),
-e as (select doc_id, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::bigint) h from d),
-f as (select doc_id, lines, list_filter(range(1, len(h) + 1), lambda i: i = len(h) or (h[i] + 31 * (case when i > 1 then h[i - 1] else 0 end)) % 3 = 0) ends from e),
-c as (select doc_id, lines, ends, unnest(range(1, len(ends) + 1)) k from f),
-b as (select doc_id, k, case when k = 1 then 0 else ends[k - 1] end pos, ends[k] last, lines from c),
-x as (select doc_id, pos, last - pos n, array_to_string(lines[pos + 1:last], chr(10)) body from b),
-g as (select body, count(*) places, min((coalesce(doc_id, 9223372036854775807), pos)) first from x where n > 1 and trim(body, ' ' || chr(9) || chr(10) || chr(13)) <> '' group by body having count(*) > 1),
-y as (select x.*, g.body is not null and (coalesce(x.doc_id, 9223372036854775807), x.pos) <> g.first gone from x left join g on x.body = g.body and x.n > 1),
+with d as (select doc_id, md5(coalesce(text, '')) m, string_split(coalesce(text, ''), chr(10)) lines from documents),
+e as (select doc_id, m, lines, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::bigint) h from d),
+f as (select doc_id, m, lines, list_filter(range(1, len(h) + 1), lambda i: i = len(h) or (h[i] + 31 * (case when i > 1 then h[i - 1] else 0 end)) % 3 = 0) ends from e),
+c as (select doc_id, m, lines, ends, unnest(range(1, len(ends) + 1)) k from f),
+b as (select doc_id, m, k, case when k = 1 then 0 else ends[k - 1] end pos, ends[k] last, lines from c),
+x as (select doc_id, m, pos, last - pos n, array_to_string(lines[pos + 1:last], chr(10)) body from b),
+g as (select body, count(*) places, min((doc_id is null, coalesce(doc_id, 0), m, pos)) first from x where n > 1 and trim(body, ' ' || chr(9) || chr(10) || chr(13)) <> '' group by body having count(*) > 1),
+y as (select x.*, g.body is not null and (x.doc_id is null, coalesce(x.doc_id, 0), x.m, x.pos) <> g.first gone from x left join g on x.body = g.body and x.n > 1),
 z as (select doc_id, sum(n)::bigint n_lines, count(*)::bigint n_chunks, coalesce(sum(case when gone then n end), 0)::bigint n_removed,
-             coalesce(string_agg(case when not gone then body end, chr(10) order by pos), '') left_text from y group by doc_id)
+             coalesce(string_agg(case when not gone then body end, chr(10) order by pos), '') left_text from y group by doc_id, m)
 select doc_id, n_lines, n_chunks, n_removed, length(left_text)::bigint n_chars_left, sha256(left_text) text_sha256 from z
 """

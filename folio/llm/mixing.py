@@ -52,8 +52,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
 
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with size, __key and the null-safe source (__source, __has)."""
-    out = docs.withColumn("size", n_words(F.col("text"))).withColumn("__key", random_key(F.col("doc_id"), seed))
+    """docs with size, __key, __tie (the text's md5) and the null-safe source (__source, __has)."""
+    out = docs.withColumn("size", n_words(F.col("text"))).withColumn("__key", random_key(F.col("doc_id"), seed)).withColumn("__tie", F.md5(F.coalesce("text", F.lit(""))))
     return out.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__has", F.col("source").isNotNull())
 
 
@@ -67,8 +67,9 @@ def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = 1.5, mos
     """docs with size, source_size (long), target (double) and taken (long: the words the mix takes, repeats counted).
 
     Null or empty texts have size 0 and are taken 0 times; null sources are a source of their own; sources of size 0
-    have target 0. Rows with the same doc_id are ordered by their size, and equal rows are interchangeable. An empty
-    table gives an empty one. Columns of docs named like the four results are replaced.
+    have target 0. Rows with the same doc_id are ordered by their size, then by their text's md5, and equal rows are
+    interchangeable. An empty table gives an empty one. Columns of docs named like the four results are replaced; names
+    that begin with two underscores are not for docs.
 
     texts: whether the result keeps the columns besides doc_id and source; without, texts are read once.
 
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = 1.5, mos
     offsets = sums.select(*part, "__range", F.coalesce(F.sum("__sum").over(ranges), F.lit(0)).alias("__offset"))
     offsets = bounded(materialise(offsets, "offsets"), broadcast_rows)
     rows, kept = (_keyed(docs, seed), docs.columns) if texts else (narrow, ["doc_id", "source"])
-    within = Window.partitionBy(*part, "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*part, "__range").orderBy("__key", "doc_id", "size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     out = _ranged(rows, plan, docs_per_range).repartition(*part, "__range")
     out = out.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, [*part, "__range"])
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
@@ -98,7 +99,9 @@ def mix(docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = 1.5, mos
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a document taken twice stands there twice; of one that is cut, a row holds its first words.
 
-    Columns are those of docs, with n_chars of the text that a row holds; documents that are not taken are gone.
+    Columns are those of docs, with n_chars of the text that a row holds; documents that are not taken are gone. Null,
+    empty and blank texts have no words and are never taken; a null source is a source; repeated rows are each taken by
+    themselves; an empty table gives an empty one.
     """
     hidden = {c: f"__own_{c}" for c in ("size", "source_size", "target", "taken") if c in docs.columns}
     planned = mix(docs.withColumnsRenamed(hidden), **options)
@@ -122,7 +125,7 @@ OP1_SQL = r"""
 with d as (
   select doc_id, coalesce(source, '') s, source is not null h,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
-         ('0x' || substr(md5('1:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint k
+         ('0x' || substr(md5('1:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint k, md5(coalesce(text, '')) tie
   from documents),
 t as (select s, h, sum(size)::bigint source_size from d group by s, h),
 w as (select *, ([5, 2, 1])[((row_number() over (order by h desc, s) - 1) % 3 + 1)::int]::double w, source_size * 2.0::double cap,
@@ -133,7 +136,7 @@ l as (select *, (total - coalesce(sum(cap) over (order by ratio, h desc, s rows
 m as (select *, (select arg_min(lev, ratio) from l where ratio > lev) level from l),
 g as (select s, h, source_size, case when level is null then cap else least(cap, w * level) end target from m),
 p as (select d.doc_id, d.size, g.source_size, g.target, floor(g.target)::bigint b,
-             coalesce(sum(d.size) over (partition by d.s, d.h order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint pre
+             coalesce(sum(d.size) over (partition by d.s, d.h order by k, doc_id, size, tie rows between unbounded preceding and 1 preceding), 0)::bigint pre
       from d join g on d.s = g.s and d.h = g.h)
 select doc_id, size, source_size, target,
        (case when source_size = 0 then 0 else (b // source_size) * size + greatest(0, least(size, b % source_size - pre)) end)::bigint taken
