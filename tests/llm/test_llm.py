@@ -1,7 +1,10 @@
 """Training-data operators: odd inputs, brute force, round trips and held-out accuracy on small tables."""
 
+import collections
+import math
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -316,13 +319,15 @@ def test_adjoining_notices_all_stand():
 def test_adjoining_notices_against_each_alone():
     """Lists of one notice with letters dropped or changed: every one that is found alone is found in the list."""
     rng = random.Random(11)
-    for notice, label in licenses.NOTICES.items():
-        scan = licenses.Scanner({}, {notice: label})
+    for spelled, label in licenses.NOTICES.items():
+        scan = licenses.Scanner({}, {spelled: label})
+        notice, most, _ = licenses.notice_pattern(spelled)
+        exact = [i for w in re.findall(r"\[(.*?)\]", spelled) for i in range(notice.index(w) - 1, notice.index(w) + len(w) + 1)]
         for _ in range(12):
             listed, want, at = [], [], 0
             for _ in range(rng.randrange(2, 7)):
                 own = list(notice)
-                for k in rng.sample([i for i, c in enumerate(own) if c != " " and 0 < i < len(own) - 1 and " " not in own[i - 1 : i + 2]], rng.randrange(min(3, len(notice) // 10 + 1))):
+                for k in rng.sample([i for i, c in enumerate(own) if c != " " and 0 < i < len(own) - 1 and " " not in own[i - 1 : i + 2] and i not in exact], rng.randrange(min(3, most + 1))):
                     own[k] = rng.choice(["", "q"])
                 alone = scan("".join(own))[7]
                 assert len(alone) == 1
@@ -340,3 +345,204 @@ def test_items_without_an_id_are_searched(spark, block):
     got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.decontaminate(docs, benchmark, block=block).collect()}
     assert got == {1: (3, []), 2: (0, []), 3: (2, ["7"])}
     assert [r.doc_id for r in decontaminate.clean_documents(docs, benchmark).collect()] == [2]
+
+
+def test_rows_that_repeat_an_id_are_places_of_their_own(spark):
+    """Whichever text comes first by md5 keeps the shared lines."""
+    shared = [f"line {i}" for i in range(30)]
+    texts = ["\n".join(shared) + "\nx", "\n".join(shared) + "\ny"]
+    for ids, kind in (((5, 5), "long"), ((1, 2), "long"), (("a", "a"), "string")):
+        got = line_dedup.line_dedup(spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")).collect()
+        assert sorted(r.n_removed > 0 for r in got) == [False, True]
+
+
+def test_one_row_of_each_group(spark):
+    """Rows that repeat an id and a text, an id alone, or nothing."""
+    base = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, base), (1, base), (1, base + " z"), (2, base), (3, "other words stand here altogether"), (3, "and these are others again yes"), (None, base), (4, None), (5, ""), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    got = sorted((r.doc_id, r.text or "") for r in near_dedup.distinct_documents(df).collect())
+    assert [x[0] for x in got] == [1, 3, 3, 4, 5]
+    assert {x[1] for x in got if x[0] == 3} == {rows[4][1], rows[5][1]}
+
+
+def test_null_ids_do_not_multiply(spark):
+    base = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(None, base)] * 40 + [(None, base + " x")] * 40 + [(7, "one two three four five")], "doc_id long, text string")
+    got = near_dedup.near_duplicates(df).collect()
+    assert len(got) == 81 and {r.component_id for r in got if r.doc_id is None} == {None}
+
+
+def test_versions_and_qualifiers_are_exact():
+    scan = licenses.Scanner(licenses.PHRASES, licenses.NOTICES)
+    labels = {
+        "Licensed under CC BY-ND 4.0": ["cc-by"],
+        "Licensed under CC BY-NC 3.0": ["cc-by"],
+        "Mozilla Public License Version 1.1": [],
+        "Mozila Public License, Version 2.0": ["mpl-2.0"],
+        "Licensed under the Apache License, Version 1.1": ["apache"],
+        "This work is licensed under the GNU General Public License version 1": ["gpl"],
+        "gnu lesser genral public license": ["lgpl"],
+        "gnu leser general public license": [],
+        "Licensed under the Apache License, Version 2.07": ["apache"],
+    }
+    assert {t: scan(t)[5] for t in labels} == labels
+
+
+def test_notices_against_windows_of_all_places():
+    """Brute force: edit distance of the loose words at every place, exact words as they are."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng, notice = random.Random(4), "released under the [mit] license"
+    scan = licenses.Scanner({}, {notice: "mit"})
+    _, most, _ = licenses.notice_pattern(notice)
+    for _ in range(300):
+        loose = list("released under the ")
+        for _ in range(rng.randrange(4)):
+            loose[rng.randrange(1, 15)] = rng.choice("abcxyz")
+        word = rng.choice(["mit", "mit", "mit", "bsd", "mitt"])
+        text = f"so {''.join(loose)}{word} license it is"
+        want = word == "mit" and distance("".join(loose), "released under the ") <= most
+        assert bool(scan(text)[7]) == want, text
+
+
+def test_hits_against_every_place(spark):
+    """Windows looked up by hash equal windows compared at every place."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    items = [(str(i), " ".join(rng.choices(words, k=rng.randrange(0, 7)))) for i in range(30)] + [(None, "w1 w2")]
+    windows = decontaminate.Windows(items, width=3)
+    for _ in range(300):
+        own = rng.choices(words, k=rng.randrange(0, 40))
+        hit, found = set(), set()
+        for item, text in items:
+            t = text.split()
+            for w in {tuple(t[i : i + 3]) for i in range(max(1, len(t) - 2))} if t else ():
+                for at in range(len(own) - len(w) + 1):
+                    if tuple(own[at : at + len(w)]) == w:
+                        hit.update(range(at, at + len(w)))
+                        found |= {item} - {None}
+        n, got, names = windows.find(" ".join(own))
+        assert (n, set(np.flatnonzero(got).tolist()), names) == (len(own), hit, found)
+
+
+def test_many_languages_are_learned(spark):
+    """No number of languages ends the job; each keeps a text at least."""
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 26) * 4} {chr(97 + i // 26) * 5} wort{i % 700}", f"l{i % 700:03d}", "a", 0) for i in range(1400)], SCHEMA)
+    assert len(language.train(docs, sample=3).langs) > 600
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 50}", "en", "a", 0) for i in range(3000)], SCHEMA)
+    got = common.sample_rows(docs, 20, "lang", by="lang")
+    assert len(got) == 20 and len({r.text for r in got}) == 20
+    assert len(common.sample_rows(docs, 1000, most_bytes=70)) == 10
+
+
+def test_cosines_against_plain_vectors():
+    """A text's score is the cosine of its TF-IDF vector with the nearest centroid, all computed by dictionaries."""
+    model = language.Model({"a": ["the cat sat on the mat", "a dog and a cat"], "b": ["der hund und die katze", "das ist ein haus"]})
+    text = "the hund"
+    raw = f" {text} ".encode()
+    shift, mask = 32 - language.BITS, 2**32 - 1
+    tf = collections.Counter()
+    for n, base in ((2, 0), (3, 1 << language.BITS)):
+        for i in range(len(raw) - n + 1):
+            tf[base + ((int.from_bytes(raw[i : i + n], "big") * 2654435761 & mask) >> shift)] += 1
+    v = {k: math.log1p(n) * float(model.idf[k]) for k, n in tf.items()}
+    size = math.sqrt(sum(x * x for x in v.values()))
+    cosines = [sum(x * float(c[k]) for k, x in v.items()) / size for c in model.centroids]
+    lang, score, _ = model.predict(text)
+    assert score == pytest.approx(max(cosines), abs=1e-4) and lang == model.langs[model.of[int(np.argmax(cosines))]]
+
+
+def test_noisy_or_against_products():
+    rng = np.random.default_rng(2)
+    weights = rng.normal(0, 1, toxicity.FEATURES).astype(np.float32)
+    text = "one two. three four five! six\nseven? eight"
+    none = 1.0
+    for part in re.split(r"[.!?\n]", text):
+        own = part.split()
+        if own:
+            z = -2.0 + sum(float(weights[toxicity.features(w)].sum()) for w in own)
+            none *= 1 - 1 / (1 + math.exp(-z))
+    assert toxicity.Scorer(weights, -2.0)(text)[0] == pytest.approx(1 - none, rel=1e-6)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="content has-sidebar"><p>one</p></div>', "one"),
+        ('<div id="page" class="no-comments">two</div>', "two"),
+        ('<p class="notice-board">three</p>', "three"),
+        ("<article><p>teaser</p></article><div class=post>the text itself, and longer</div>", "teaser the text itself, and longer"),
+        ("<div class=post>the text</div><div class=site-comments>mine</div>", "the text"),
+        ("<div>" * 2000 + "deep", "deep"),
+    ],
+)
+def test_names_are_a_prior(page, text):
+    assert html.main_text(page, set()) == text
+
+
+def test_style_tree_against_brute_force(spark):
+    """Entropies and branches' importance of a small site, recounted from its nested lists."""
+    site = [("a", ["p", "p"], i) for i in range(4)] + [("a", ["p"], i) for i in range(4, 7)]
+    pages = [f"<div class=m>menu</div><div class=t>{''.join(f'<p>page {i} {k}</p>' for k, _ in enumerate(kinds))}</div>" for _, kinds, i in site]
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    got = {r.path: r for r in html.style_tree(df).collect()}
+    menu, text = html._child(0, "div.m"), html._child(0, "div.t")
+    p = html._child(text, "p")
+    look = -(4 / 7 * math.log(4 / 7) + 3 / 7 * math.log(3 / 7)) / math.log(7)
+    assert (got[menu].n, got[menu].look, got[menu].content, got[menu].importance) == (7, None, 0.0, 0.0)
+    assert (got[p].look, got[p].content, got[p].importance) == (None, pytest.approx(1.0), pytest.approx(1.0))
+    assert got[text].look == pytest.approx(look) and got[text].content is None
+    assert got[text].importance == pytest.approx((look + html.DECAY) / (1 + html.DECAY))
+
+
+def test_tree_decides_without_telling_names(spark):
+    """Menus and footers in plain divs go because all pages of the host share them, texts under the same tags stay."""
+    got = _texts(spark, [f"<div><div class=k1><div>Home</div><div>About us</div></div><div class=k2><div>Text of page {i}</div>{'<div>and more of it</div>' * (i % 4)}</div><div class=k3>All rights reserved</div></div>" for i in range(40)])
+    assert got == [" ".join([f"Text of page {i}", *["and more of it"] * (i % 4)]) for i in range(40)]
+
+
+def test_other_tokenizers_go_through_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    own, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    text = "Plain words, twice: plain words"
+    assert not own.known_steps
+    assert np.frombuffer(own(text), own.type).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_odd_values(spark, odd):
+    """What the odd rows give, not just how many they are."""
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    of = {name: sorted(run(odd).collect(), key=key) for name, run in each(spark).items() if name in ("mix", "exact", "near", "benchmark", "language", "toxicity", "licenses", "tokens")}
+    assert [r.size for r in of["mix"]] == [6, 6, 0, 0, 0, 60_000, 4, 4]
+    assert [r.group_size for r in of["exact"]] == [2, 2, 2, 2, 1, 1, 1, 1]
+    assert [r.component_id for r in of["near"]] == [1, 1, 2, 3, 4, 5, 6, None]
+    assert [r.n_hit for r in of["benchmark"]] == [4, 4, 0, 0, 0, 0, 0, 0]
+    assert [r["items"] for r in of["benchmark"]][:2] == [["10"], ["10"]]
+    assert [r.language.lang_pred for r in of["language"]][2:5] == ["und"] * 3
+    assert [r.toxicity.score for r in of["toxicity"]][2:5] == [0.0] * 3
+    assert all(r.license.labels == [] and r.license.score == 0 for r in of["licenses"])
+    assert [r.n_tokens for r in of["tokens"]][2:4] == [1, 1]
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    spark.createDataFrame(BENCHMARK, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (odd, empty):
+        kept, columns = docs, docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = common.materialise(stage(spark, kept, str(tmp_path)), "test")
+            assert kept.columns == columns, name
+        rows = kept.count()
+        assert corpus_pipeline.token_output(spark, kept, str(tmp_path)).count() == rows
