@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a token is ASCII letters and digits, with one inner apostrophe part; a final 's stays outside the group.
 TOKEN = r"([a-z0-9]+(?:'(?!s(?![a-z0-9]))[a-z0-9]+)?)(?:'s(?![a-z0-9]))?"
-#: Characters that case folding makes several of, where lower() keeps one.
-FOLDS = {"ß": "ss", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "’": "'"}
+#: Characters that case folding turns into ASCII letters where lower() doesn't, and what they become; a mark
+#: that isn't ASCII splits words, so a blank stands for it.
+FOLDS = {
+    "ß": "ss", "ſ": "s", "ŉ": " n", "ǰ": "j ", "ẖ": "h ", "ẗ": "t ", "ẘ": "w ", "ẙ": "y ", "ẚ": "a ", "’": "'",
+    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
+}
 #: Words that evidence and spans skip.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "before", "by", "for", "from", "he", "her", "his", "in", "into", "is", "it", "of", "on", "she", "that", "the", "their", "them", "they", "to", "was", "were", "with",
+)
 
 
 def tokens(text: Column) -> Column:
     """Case-folded tokens in order, without a final 's; null gives none. Accented letters split words."""
-    folded = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    folded = plain
     for old, new in FOLDS.items():
         folded = F.replace(folded, F.lit(old), F.lit(new))
-    return F.regexp_extract_all(folded, F.lit(TOKEN), 1)
+    # One look at the text says whether any of the replacements is needed.
+    return F.regexp_extract_all(F.when(plain.rlike(f"[{''.join(FOLDS)}]"), folded).otherwise(plain), F.lit(TOKEN), 1)
 
 
 def words(text: Column) -> Column:

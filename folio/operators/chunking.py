@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +78,61 @@ def neighbour_spans(chunks: DataFrame) -> DataFrame:
     """doc_id, ordinal, context_start, context_end: from the start of the chunk before to the end of the chunk after."""
     w = Window.partitionBy("doc_id").orderBy("ordinal")
     return chunks.select("doc_id", "ordinal", F.coalesce(F.lag("word_start").over(w), "word_start").alias("context_start"), F.coalesce(F.lead("word_end").over(w), "word_end").alias("context_end"))
+
+
+#: Words, overlap and least words of chunks that follow sentences; what ends a sentence.
+STRUCTURED = (160, 40, 120)
+SENTENCE_END = r"[.!?][\"')\]]*$"
+PARAGRAPH_BREAK = r"\n(?U)\s*\n"
+
+
+def structured_spans(n: int, paragraph_ends: list[int], sentence_ends: list[int], size: int, overlap: int, least: int) -> list[tuple[int, int]]:
+    """Spans of at most `size` words. A span ends at the last paragraph end it can reach with `least` words, else at the last sentence end, else where it is full; the next one starts at the sentence end nearest to the overlap, the later one on ties."""
+    ends = sorted({*sentence_ends, *paragraph_ends, n})
+    stops = sorted(set(paragraph_ends))
+    spans, start = [], 0
+
+    def last(among: list[int], low: int, high: int) -> int | None:
+        k = bisect_right(among, high) - 1
+        return among[k] if k >= 0 and among[k] >= low else None
+
+    while start < n:
+        full = min(start + size, n)
+        end = n if full == n else last(stops, start + least, full) or last(ends, start + least, full) or full
+        spans.append((start, end))
+        if end == n:
+            break
+        wanted = end - overlap
+        k = bisect_right(ends, max(wanted, start))
+        near = [e for e in ends[max(0, k - 1) : k + 1] if start < e < end]
+        start = min(near, key=lambda e: (abs(e - wanted), -e)) if near else max(start + 1, wanted)
+    return spans
+
+
+def structured_chunks(docs: DataFrame, size: int = STRUCTURED[0], overlap: int = STRUCTURED[1], least: int = STRUCTURED[2]) -> DataFrame:
+    """doc_id, ordinal, word_start, word_end, text of chunks that follow paragraphs and sentences. An empty text has none."""
+    if not 0 <= overlap < size or not 1 <= least <= size:
+        raise ValueError("the overlap must be below the size, and the least size between 1 and it")
+
+    @F.pandas_udf("array<struct<s:int,e:int>>")
+    def spans(n: pd.Series, stops: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([[{"s": a, "e": b} for a, b in structured_spans(int(m), list(p), list(s), size, overlap, least)] for m, p, s in zip(n, stops, ends, strict=True)], dtype=object)
+
+    split = docs.select("doc_id", "text", F.explode(F.array(words(F.col("text")))).alias("w")).where(F.size("w") > 0)
+    counts = F.transform(F.split("text", PARAGRAPH_BREAK), lambda p: F.size(words(p)))
+    stops = F.aggregate(counts, F.array().cast("array<int>"), lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x)))
+    ends = F.array_compact(F.transform("w", lambda x, k: F.when(F.regexp_like(x, F.lit(SENTENCE_END)), k + 1)))
+    each = split.select("doc_id", "w", F.posexplode(spans(F.size("w"), stops, ends)).alias("k", "x"))
+    return each.select("doc_id", (F.col("k") + 1).alias("ordinal"), F.col("x.s").alias("word_start"), F.col("x.e").alias("word_end"), F.array_join(F.slice("w", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")), " ").alias("text"))
+
+
+def uncovered(chunks: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc_id, chunk: chunks that share no word with a window; there should be none."""
+    own = chunks.select("doc_id", F.col("ordinal").alias("chunk"))
+    return own.join(overlapping(chunks, windows).select("doc_id", "chunk").distinct(), ["doc_id", "chunk"], "left_anti")
+
+
+def required_chunks(targets: DataFrame, best: DataFrame) -> DataFrame:
+    """best (see best_chunks) for every target; a target without a chunk ends the job with an error."""
+    out = targets.select("doc_id", "target").join(best, ["doc_id", "target"], "left")
+    return out.withColumn("ordinal", F.coalesce("ordinal", F.raise_error(F.concat(F.lit("no chunk holds a target of "), F.col("doc_id").cast("string"))).cast("int")))

@@ -18,7 +18,7 @@ BASE, COMPACT, COMPACT_PROXIMITY, COMPACT_PHRASE, EXACT = 0.25, 1.0, 0.50, 0.25,
 
 
 def _bigrams(t: Column) -> Column:
-    return F.array_distinct(F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 @F.pandas_udf(IntegerType())
@@ -36,50 +36,51 @@ def _width(places: pd.Series) -> pd.Series:
     return places.map(one).astype("int32")
 
 
-def evidence(docs: DataFrame, queries: DataFrame, strict: bool = False) -> DataFrame:
+def evidence(docs: DataFrame | lexical.Lexicon, queries: DataFrame, strict: bool = False) -> DataFrame:
     """item_id, doc_id, coverage, proximity, phrase, score of every document with a non-stop term of the query.
 
     Terms that the corpus lacks count for nothing; strict: only documents with all non-stop terms, so a query with a
-    term that the corpus lacks has none. Queries are broadcast where small; of the texts, only places of the queries'
-    terms and their bigrams leave the scan.
+    term that the corpus lacks has none. Everything comes from the places of the queries' terms; queries are broadcast
+    where small.
     """
+    words = lexical._lexicon(docs)
     asked = queries.select("item_id", F.filter(tokens(F.col("query")), lambda x: ~x.isin(*STOPWORDS)).alias("q"))
     terms = asked.select("item_id", F.explode(F.array_distinct("q")).alias("term"))
-    split = docs.select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("t"))
     # Every frame of the queries has at most a row for each of their tokens.
     few = hint(asked.select(F.explode("q")))
-    vocabulary = few(terms.select("term").distinct())
-    found = split.select("doc_id", F.posexplode("t").alias("at", "term")).join(vocabulary, "term", "left_semi")
-    found = found.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    n = docs.agg(F.count("*").alias("n"))
-    weights = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", lexical.idf(F.col("df"), F.col("n")).alias("idf"))
+    found = words.of(few(terms.select("term").distinct())).select("term", "doc_id", "places")
+    weights = lexical.document_frequencies(found).crossJoin(F.broadcast(words.corpus)).select("term", lexical.idf(F.col("df"), F.col("n")).alias("idf"))
     weighted = terms.join(weights, "term")
     total = weighted.groupBy("item_id").agg(F.sum("idf").alias("total"), F.count("*").alias("known")).join(terms.groupBy("item_id").agg(F.count("*").alias("asked")), "item_id")
-    hits = found.join(few(weighted), "term").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("got"), F.count("*").alias("matched"), F.collect_list("places").alias("places"))
+    hits = found.join(few(weighted), "term").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("got"), F.count("*").alias("matched"), F.collect_list(F.struct("term", "places")).alias("held"))
     hits = hits.join(few(total), "item_id")
     hits = hits.where("matched = asked") if strict else hits
-    # The query's bigrams are of its known terms, those of a document of all its tokens.
+    # The query's bigrams are of its known terms, those of a document of all its tokens: the second stands right behind the first.
     known = asked.select("item_id", F.posexplode("q").alias("k", "term")).join(weights.select("term"), "term")
     pairs = known.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]).alias("q"))
-    pairs = pairs.select("item_id", F.explode(_bigrams(F.col("q"))).alias("pair"))
-    shared = split.select("doc_id", F.explode(_bigrams(F.col("t"))).alias("pair")).join(few(pairs), "pair").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    out = hits.join(shared, ["item_id", "doc_id"], "left").join(few(pairs.groupBy("item_id").agg(F.count("*").alias("pairs"))), "item_id", "left")
+    pairs = pairs.select("item_id", _bigrams(F.col("q")).alias("pairs"))
+    out = hits.join(few(pairs), "item_id", "left")
+    held = F.map_from_entries("held")
+    beside = lambda p: F.arrays_overlap(F.transform(held[p["a"]], lambda x: x + 1), held[p["b"]])
+    shared = F.size(F.filter("pairs", lambda p: F.map_contains_key(held, p["a"]) & F.map_contains_key(held, p["b"]) & F.coalesce(beside(p), F.lit(False))))
     coverage = F.col("got") / F.col("total")
-    out = out.select("item_id", "doc_id", coverage.alias("coverage"), "matched", _width("places").alias("width"), F.coalesce(F.col("shared") / F.col("pairs"), F.lit(0.0)).alias("phrase"))
+    phrase = F.when(F.size("pairs") > 0, shared / F.size("pairs")).otherwise(0.0)
+    out = out.select("item_id", "doc_id", coverage.alias("coverage"), "matched", _width(F.transform("held", lambda x: x["places"])).alias("width"), phrase.alias("phrase"))
     out = out.withColumn("proximity", F.when(F.col("matched") >= 2, F.col("coverage") * F.col("matched") / F.col("width")).otherwise(0.0))
     return out.select("item_id", "doc_id", "coverage", "proximity", "phrase", (COVERAGE * F.col("coverage") + PROXIMITY * F.col("proximity") + PHRASE * F.col("phrase")).alias("score"))
 
 
-def lexical_scores(docs: DataFrame, queries: DataFrame, strict: bool = True, words: int | None = None) -> DataFrame:
+def lexical_scores(docs: DataFrame | lexical.Lexicon, queries: DataFrame, strict: bool = True, base: DataFrame | None = None) -> DataFrame:
     """item_id, doc_id, base, exact, coverage, proximity, phrase, score: BM25 against its best, lifted where all terms stand close, replaced where the phrase stands.
 
-    words: how many of the query's first tokens make its phrase; all of them if None.
+    base: other base scores (item_id, doc_id, score) than BM25 of docs, as of narrative views or scenes.
     """
-    base = lexical.bm25(docs, queries).withColumnRenamed("score", "base")
+    words = lexical._lexicon(docs)
+    base = (lexical.bm25(words, queries) if base is None else base).withColumnRenamed("score", "base")
     most = base.groupBy("item_id").agg(F.max("base").alias("most"))
-    seen = evidence(docs, queries, strict).drop("score")
-    exact = lexical.exact_phrases(docs, queries, words).withColumn("exact", F.lit(True))
-    out = base.join(hint(queries)(most), "item_id").join(seen, ["item_id", "doc_id"], "left").join(exact, ["item_id", "doc_id"], "left").na.fill({"exact": False, "coverage": 0.0, "proximity": 0.0, "phrase": 0.0})
+    seen = evidence(words, queries, strict).drop("score")
+    exact = lexical.exact_phrases(words, queries).withColumn("exact", F.lit(True))
+    out = base.join(hint(queries)(most), "item_id").join(seen, ["item_id", "doc_id"], "full_outer").join(exact, ["item_id", "doc_id"], "full_outer").na.fill({"exact": False, "coverage": 0.0, "proximity": 0.0, "phrase": 0.0, "base": 0.0})
     share = F.when(F.col("most") > 0, BASE * F.col("base") / F.col("most")).otherwise(BASE * F.col("base"))
     compact = (F.abs(F.col("coverage") - 1) <= 1e-8 + 1e-5) & (F.col("proximity") > 0)
     lift = F.when(compact, COMPACT + COMPACT_PROXIMITY * F.col("proximity") + COMPACT_PHRASE * F.col("phrase")).otherwise(0.0)
@@ -93,17 +94,33 @@ def promoted(scores: DataFrame, exact: DataFrame) -> DataFrame:
     return marked.select("item_id", "doc_id", F.coalesce("exact", F.lit(False)).alias("exact"), (F.col("score") + F.when(F.col("exact"), F.col("lift")).otherwise(0.0)).alias("score"))
 
 
-def lexical_page(chunks: DataFrame, queries: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
+def lexical_page(chunks: DataFrame, queries: DataFrame, page: int = 1, size: int = 20, one_per_chapter: bool = False, eligible: DataFrame | None = None) -> DataFrame:
     """item_id, rank, doc_id, ordinal, lexical_rank, score, total: a page of the passages that overlap no better one of their document.
 
     lexical_rank counts before passages that overlap go, rank and total after. Ties go by document, then ordinal.
+    eligible: chunks (doc_id, ordinal) that may be ranked; statistics are of all.
     """
+    if page < 1 or not 1 <= size <= 100:
+        raise ValueError("page must be positive, and its size between 1 and 100")
+    left = lexical_places(chunks, queries, one_per_chapter, eligible)
+    return left.where(F.col("rank").between((page - 1) * size + 1, page * size)).select("item_id", "rank", "doc_id", "ordinal", "lexical_rank", "score", "total")
+
+
+def lexical_places(chunks: DataFrame, queries: DataFrame, one_per_chapter: bool = False, eligible: DataFrame | None = None) -> DataFrame:
+    """All pages of lexical_page in one frame."""
     place = F.struct("doc_id", "ordinal")
-    texts = chunks.select(place.alias("doc_id"), "text")
-    scores = lexical_scores(texts, queries).select("item_id", F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.ordinal").alias("ordinal"), "score")
+    words = lexical.lexicon(chunks.select(place.alias("doc_id"), "text")).stored()
+    scores = lexical_scores(words, queries).select("item_id", F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.ordinal").alias("ordinal"), "score")
     best = Window.partitionBy("item_id").orderBy(F.round("score", lexical.TIE).desc(), "doc_id", "ordinal")
-    placed = scores.where("score > 0").withColumn("rank", F.row_number().over(best)).join(chunks.select("doc_id", "ordinal", "word_start", "word_end"), ["doc_id", "ordinal"])
-    chosen = fusion.without_overlap(placed).select("item_id", F.col("rank").alias("lexical_rank"))
+    may = scores.where("score > 0") if eligible is None else scores.where("score > 0").join(eligible.select("doc_id", "ordinal"), ["doc_id", "ordinal"], "left_semi")
+    placed = may.withColumn("rank", F.row_number().over(best)).join(chunks.select("doc_id", "ordinal", "word_start", "word_end"), ["doc_id", "ordinal"])
+    chosen = (fusion.one_each(placed, "doc_id") if one_per_chapter else fusion.without_overlap(placed)).select("item_id", F.col("rank").alias("lexical_rank"))
     left = placed.withColumnRenamed("rank", "lexical_rank").join(chosen, ["item_id", "lexical_rank"], "left_semi")
-    left = left.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("lexical_rank"))).withColumn("total", F.count("*").over(Window.partitionBy("item_id")))
-    return left.where(F.col("rank").between((page - 1) * size + 1, page * size)).select("item_id", "rank", "doc_id", "ordinal", "lexical_rank", "score", "total")
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("lexical_rank"))).withColumn("total", F.count("*").over(Window.partitionBy("item_id")))
+
+
+def book_counts(places: DataFrame, chunks: DataFrame, books: DataFrame) -> DataFrame:
+    """item_id, book, n: how many of a query's results each book has, 0 included. places: lexical_places; chunks: doc_id, ordinal, book; books: book."""
+    n = places.join(chunks.select("doc_id", "ordinal", "book"), ["doc_id", "ordinal"]).groupBy("item_id", "book").agg(F.count("*").alias("n"))
+    every = places.select("item_id").distinct().join(hint(books)(books.select("book").distinct()), F.lit(True))
+    return every.join(n, ["item_id", "book"], "left").select("item_id", "book", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +33,16 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
 def hint(df: DataFrame, rows: int = 100_000) -> Callable[[DataFrame], DataFrame]:
     """Marks frames that can't have more rows than df, without running them: broadcast if df has at most that many rows."""
     return F.broadcast if df.limit(rows + 1).count() <= rows else lambda x: x
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the folder that all executors share (spark.checkpoint.dir) and read again: computed once, and safe from lost executors."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", shared := tempfile.mkdtemp(prefix="folio-"))
+    path = f"{shared.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
