@@ -20,6 +20,8 @@ WINDOW, DIVISOR = 2, 3
 BASE = 31
 #: Characters from which a line alone counts as a passage.
 LONG_LINE = 100
+#: Repeated digests (16 bytes each), and rows and places that go (some 50 bytes each), that a broadcast may hold.
+REPEATED, PLACES = 200_000, 300_000
 #: Blanks that a line may consist of and still be empty.
 _BLANK = " \t\n\r"
 
@@ -64,17 +66,24 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     row = F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row.md5").alias("md5"), F.col("k").alias("pos"))
     each = docs.select("doc_id", row.alias("row"), F.posexplode(_chunks(F.col("text"))).alias("k", "c")).where("c.n > 1").withColumn("key", F.unhex(F.md5("c.body")))
-    # Grouping by the bytes is the byte comparison: copies collapse before the shuffle, and two bodies never meet.
-    groups = each.where(F.trim(F.col("c.body"), F.lit(" \t\n\r")) != "").groupBy("key", "c.body").agg(F.count("*").alias("places"), F.min(place).alias("first"))
-    # A key with two bodies (never seen) is left alone.
-    repeated = groups.groupBy("key").agg(F.count("*").alias("bodies"), F.sum("places").alias("places"), F.min("first").alias("first")).where("bodies = 1 and places > 1")
-    repeated = materialise(repeated.select("key", "places", "first"), "repeated")
+    each = each.where(F.trim(F.col("c.body"), F.lit(" \t\n\r")) != "")
     narrow = materialise(each.select("row", place.alias("place"), "key"), "places")
-    total = narrow.count()
-    gone = join_by_key(narrow, repeated, "key", "places", total).where(~F.col("place").eqNullSafe(F.col("first")))
+    repeated = materialise(narrow.groupBy("key").agg(F.count("*").alias("places"), F.min("place").alias("first")).where("places > 1"), "repeated")
+    # The byte comparison: only bodies with a repeated digest meet; copies collapse before the shuffle.
+    bodies = each.select("key", "c.body")
+    if repeated.limit(REPEATED + 1).count() <= REPEATED:
+        bodies = bodies.join(F.broadcast(repeated.select("key")), "key", "left_semi")
+    odd = bodies.groupBy("key", "body").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("bodies")).where("bodies > 1").select("key")
+    # A digest of two bodies (never seen) is left alone.
+    repeated = materialise(repeated.join(odd, "key", "left_anti"), "repeated")
+    gone = join_by_key(narrow, repeated, "key", "places", narrow.count()).where(~F.col("place").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("row.doc_id").alias("__id"), F.col("row.md5").alias("__md5")).agg(F.collect_set("place.pos").alias("gone"))
+    gone = materialise(gone, "gone")
+    # Where few places go, texts stay where they are; else documents and places meet by a shuffle.
+    few = (gone.agg(F.count("*") + F.sum(F.size("gone"))).first()[0] or 0) <= PLACES
     own = docs.withColumn("__md5", F.md5(F.coalesce("text", F.lit(""))))
-    joined = own.join(gone, own["doc_id"].eqNullSafe(gone["__id"]) & (own["__md5"] == gone["__md5"]), "left").select("doc_id", "text", "gone")
+    side = F.broadcast(gone) if few else gone
+    joined = own.join(side, own["doc_id"].eqNullSafe(gone["__id"]) & (own["__md5"] == gone["__md5"]), "left").select("doc_id", "text", "gone")
     cut = joined.select("doc_id", F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"), _chunks(F.col("text")).alias("chunks"))
     left = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone")
     lost = F.expr("aggregate(gone, 0, (n, k) -> n + chunks[k].n)")
