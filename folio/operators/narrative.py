@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from folio.functions.text import tokens, words
 from folio.operators.chunking import SCENE_OVERLAP, SCENE_WORDS, scene_windows
@@ -53,7 +54,7 @@ def names(text: str | None, most: int = ENTITIES) -> list[str]:
     return [v for v, n in seen.items() if n > 1 or " " in v or v in TITLES][:most]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def entities(texts: pd.Series) -> pd.Series:
     return texts.map(names)
 

@@ -194,6 +194,9 @@ def _signals(own: DataFrame, chunks: DataFrame, queries: DataFrame, options: Opt
 def _fused(signals: dict, pool: int | None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """item_id, pos, score: the weighted sum of reciprocal ranks; and the ranks by signal."""
     ranked = {name: ranks(df, pool, positive) for name, (df, _, positive) in signals.items()}
+    if pool is not None:
+        # A pool a query and signal: small, and read several times.
+        ranked = {name: stored(df, "ranks") for name, df in ranked.items()}
     return fusion.fuse(*[(ranked[name], w) for name, (_, w, _) in signals.items()], id_col="pos"), ranked
 
 
@@ -255,7 +258,8 @@ def hierarchical_search(chunks: DataFrame, queries: DataFrame, options: Options
     final = F.col("passage_score") + options.chapter_weight / (fusion.RRF + F.col("chapter_rank")) + options.neighbor_weight * F.col("neighbour") + AGREEMENT * F.col("agreement")
     parts = parts.join(exact, ["item_id", "pos"], "left").withColumn("exact", F.coalesce("exact", F.lit(False))).withColumn("final", final)
     best = (~F.col("exact"), F.round("final", lexical.TIE).desc(), F.col("pos"))
-    parts = parts.withColumn("within_rank", F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy(*best)))
+    # The shortlisted chapters' passages; retention, results and the trace read them.
+    parts = stored(parts.withColumn("within_rank", F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy(*best))), "passages")
     apart = fusion.without_overlap(parts.withColumnRenamed("within_rank", "rank"))
     if options.retention == "per-chapter":
         apart = apart.withColumn("__n", F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy("rank"))).where(F.col("__n") <= options.passages_per_chapter)

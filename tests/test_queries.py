@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from folio.plans import registry, search
+from folio.plans import passages, registry, search
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, ORACLE_SQL = {**registry.QUERIES, **search.QUERIES}, {**registry.ORACLE_SQL, **search.ORACLE_SQL}
+QUERIES, ORACLE_SQL = {**registry.QUERIES, **search.QUERIES, **passages.QUERIES}, {**registry.ORACLE_SQL, **search.ORACLE_SQL, **passages.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
