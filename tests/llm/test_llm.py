@@ -519,7 +519,20 @@ def test_other_tokenizers_go_through_the_library():
     own, library = tokens.Encoder(path), Tokenizer.from_file(path)
     text = "Plain words, twice: plain words"
     assert not own.known_steps
-    assert np.frombuffer(own(text), own.type).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own([text])[0], own.type).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_looked_up_once_give_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path()
+    own, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["", None, " ", "\n", " a", "a ", "\na", "a\n", "a b.\nc! d\ne", "x\n\ny", "don't stop, can't", "3 cats, 4.5 (b)", "é è Àb\nç, ÿ.", "  a", "a\tb", "a b a b. b", "<|endoftext|> a", "日本 a", "a" * 50_000, "b, " * 50_000]
+    assert own.known_steps
+    for _ in range(2):
+        got = [np.frombuffer(x, own.type).tolist() for x in own(texts)]
+        assert got == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert own([]) == []
 
 
 def test_odd_values(spark, odd):
