@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from folio.functions.text import STOPWORDS, tokens
-from folio.operators import fusion, lexical
-from folio.sources.tables import hint
-
-#: Weights of coverage, nearness and bigrams; of the base score; what compact and exact matches add.
-COVERAGE, PROXIMITY, PHRASE = 0.60, 0.30, 0.10
-BASE, COMPACT, COMPACT_PROXIMITY, COMPACT_PHRASE, EXACT = 0.25, 1.0, 0.50, 0.25, 3.0
+from folio.operators import fusion, lexical, scan
+from folio.operators.scan import BASE, COMPACT, COMPACT_PHRASE, COMPACT_PROXIMITY, COVERAGE, EXACT, PHRASE, PROXIMITY, Scan
+from folio.sources.tables import hint, stored
 
 
 def _bigrams(t: Column) -> Column:
@@ -36,13 +33,15 @@ def _width(places: pd.Series) -> pd.Series:
     return places.map(one).astype("int32")
 
 
-def evidence(docs: DataFrame | lexical.Lexicon, queries: DataFrame, strict: bool = False) -> DataFrame:
+def evidence(docs: DataFrame | lexical.Lexicon | Scan, queries: DataFrame, strict: bool = False) -> DataFrame:
     """item_id, doc_id, coverage, proximity, phrase, score of every document with a non-stop term of the query.
 
     Terms that the corpus lacks count for nothing; strict: only documents with all non-stop terms, so a query with a
     term that the corpus lacks has none. Everything comes from the places of the queries' terms; queries are broadcast
     where small.
     """
+    if one := lexical.scanned(docs, queries):
+        return one.evidence(strict)
     words = lexical._lexicon(docs)
     asked = queries.select("item_id", F.filter(tokens(F.col("query")), lambda x: ~x.isin(*STOPWORDS)).alias("q"))
     terms = asked.select("item_id", F.explode(F.array_distinct("q")).alias("term"))
@@ -70,11 +69,14 @@ def evidence(docs: DataFrame | lexical.Lexicon, queries: DataFrame, strict: bool
     return out.select("item_id", "doc_id", "coverage", "proximity", "phrase", (COVERAGE * F.col("coverage") + PROXIMITY * F.col("proximity") + PHRASE * F.col("phrase")).alias("score"))
 
 
-def lexical_scores(docs: DataFrame | lexical.Lexicon, queries: DataFrame, strict: bool = True, base: DataFrame | None = None) -> DataFrame:
+def lexical_scores(docs: DataFrame | lexical.Lexicon | Scan, queries: DataFrame, strict: bool = True, base: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """item_id, doc_id, base, exact, coverage, proximity, phrase, score: BM25 against its best, lifted where all terms stand close, replaced where the phrase stands.
 
-    base: other base scores (item_id, doc_id, score) than BM25 of docs, as of narrative views or scenes.
+    base: other base scores (item_id, doc_id, score) than BM25 of docs, as of narrative views or scenes. k: rows that
+    can't be among the k best of their query may be missing.
     """
+    if base is None and (one := lexical.scanned(docs, queries)):
+        return one.scores(strict, k).drop("evidence")
     words = lexical._lexicon(docs)
     base = (lexical.bm25(words, queries) if base is None else base).withColumnRenamed("score", "base")
     most = base.groupBy("item_id").agg(F.max("base").alias("most"))
@@ -102,10 +104,27 @@ def lexical_page(chunks: DataFrame, queries: DataFrame, page: int = 1, size: int
     """
     if page < 1 or not 1 <= size <= 100:
         raise ValueError("page must be positive, and its size between 1 and 100")
-    left = lexical_places(chunks, queries, one_per_chapter, eligible)
+    own = _passages(chunks, queries, eligible)
+    if own is None:
+        left = lexical_places(chunks, queries, one_per_chapter, eligible)
+    else:
+        # Up to the page's end all that ranks is there, so ranks are those of all; totals are counted apart.
+        rows, counts = own.places(page * size, one_per_chapter)
+        best = Window.partitionBy("item_id").orderBy(F.round("score", lexical.TIE).desc(), "doc_id", "ordinal")
+        left = rows.withColumn("lexical_rank", F.row_number().over(best)).where("chosen")
+        left = left.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("lexical_rank"))).where(F.col("rank") <= page * size)
+        left = left.join(F.broadcast(counts.groupBy("item_id").agg(F.sum("n").alias("total"))), "item_id")
     return left.where(F.col("rank").between((page - 1) * size + 1, page * size)).select("item_id", "rank", "doc_id", "ordinal", "lexical_rank", "score", "total")
 
 
+def _passages(chunks: DataFrame, queries: DataFrame, eligible: DataFrame | None = None, **more: Column) -> Scan | None:
+    if eligible is not None:
+        may = eligible.select("doc_id", "ordinal").distinct().withColumn("__may", F.lit(True))
+        chunks, more = chunks.join(may, ["doc_id", "ordinal"], "left"), more | {"may": F.coalesce("__may", F.lit(False))}
+    own = scan.of_passages(chunks, queries, F.col("ordinal"), ("chapter", "ordinal"), more)
+    return own if own is None or eligible is None else own.only(lambda u: u["may"])
+
+
 def lexical_places(chunks: DataFrame, queries: DataFrame, one_per_chapter: bool = False, eligible: DataFrame | None = None) -> DataFrame:
     """All pages of lexical_page in one frame."""
     place = F.struct("doc_id", "ordinal")
@@ -119,6 +138,16 @@ def lexical_places(chunks: DataFrame, queries: DataFrame, one_per_chapter: bool
     return left.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("lexical_rank"))).withColumn("total", F.count("*").over(Window.partitionBy("item_id")))
 
 
+def counted_books(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """item_id, book, n: book_counts of all lexical_places, counted chapter by chapter. chunks also have book."""
+    own = _passages(chunks, queries, book=F.col("book"))
+    if own is None:
+        return book_counts(lexical_places(chunks, queries), chunks, chunks)
+    n = stored(own.places(None)[1], "counts")  # a row a query and book
+    every = n.select("item_id").distinct().join(F.broadcast(own.rows.select(F.explode("units.book").alias("book")).distinct()), F.lit(True))
+    return every.join(n, ["item_id", "book"], "left").select("item_id", "book", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def book_counts(places: DataFrame, chunks: DataFrame, books: DataFrame) -> DataFrame:
     """item_id, book, n: how many of a query's results each book has, 0 included. places: lexical_places; chunks: doc_id, ordinal, book; books: book."""
     n = places.join(chunks.select("doc_id", "ordinal", "book"), ["doc_id", "ordinal"]).groupBy("item_id", "book").agg(F.count("*").alias("n"))
