@@ -136,6 +136,15 @@ def scenes(docs: DataFrame, groups: Sequence[tuple[str, Sequence[str]]] = (), si
     return own.withColumn("scene_text", scene_text()).drop("w", "near")
 
 
+def scene_texts(docs: DataFrame, size: int = SCENE_WORDS, overlap: int = SCENE_OVERLAP) -> DataFrame:
+    """scene_windows with their text alone: doc_id, ordinal, word_start, word_end, text."""
+    w = docs.select("doc_id", F.explode(F.array(words(F.col("text")))).alias("w")).where(F.size("w") > 0)
+    last = F.greatest(F.size("w") - size, F.lit(0))
+    starts = F.array_distinct(F.concat(F.filter(F.sequence(F.lit(0), last, F.lit(size - overlap)), lambda s: s < last), F.array(last)))
+    each = w.select("doc_id", "w", F.posexplode(starts).alias("k", "word_start")).withColumn("word_end", F.least(F.col("word_start") + size, F.size("w")))
+    return each.select("doc_id", (F.col("k") + 1).alias("ordinal"), "word_start", "word_end", F.array_join(F.slice("w", F.col("word_start") + 1, F.col("word_end") - F.col("word_start")), " ").alias("text"))
+
+
 def scene_text() -> Column:
     more = [F.when(F.size(c) > 0, F.concat(F.lit(say), F.array_join(c, ", "), F.lit("."))) for c, say in (("entities", "Entities in surrounding scene: "), ("aliases", "Canonical character identities: "))]
     return F.concat(F.concat_ws(" ", _about(F.col("book"), F.col("doc_id"), F.col("pov")), *more), F.lit(" Scene passage: "), F.col("text"))
