@@ -35,9 +35,9 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Documents in a shard, on average; at most MOST_SHARDS shards.
 DOCS_PER_SHARD, MOST_SHARDS = 4000, 10_000
-#: Letters after a blank whose ids a worker remembers, and strings of any other kind; each twice over: those of late, and
-#: those of before that are still in use. A string takes about 200 bytes.
-SPACED, OTHERS = 150_000, 15_000
+#: Letters after a blank whose ids a worker remembers, in Arrow arrays (some 30 bytes each), and strings of any other kind,
+#: in dictionaries (some 200 bytes each) twice over: those of late, and those of before that are still in use.
+SPACED, OTHERS = 200_000, 15_000
 #: The steps before the merges for which SPLIT stands. Texts for any other tokenizer go through the library whole.
 STEPS = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "truncation": None, "padding": None}
 MERGES = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
@@ -81,6 +81,33 @@ class Remembered(dict):
         return found
 
 
+class Words:
+    """Ids of distinct words, looked up many at once and remembered in Arrow arrays; what was looked up longest ago is forgotten."""
+
+    def __init__(self, make, kind: np.dtype, most: int = SPACED):
+        self.make, self.kind, self.most, self.turn = make, kind, most, 0
+        self.words, self.ids, self.used = pa.array([], pa.string()), _lists([], kind), np.empty(0, np.int64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each word's ids stand in self.ids until the next call."""
+        self.turn += 1
+        if len(self.words) > self.most:
+            late = np.sort(np.argsort(self.used, kind="stable")[-(self.most // 2) :])
+            self.words, self.ids, self.used = self.words.take(pa.array(late)), self.ids.take(pa.array(late)), self.used[late]
+        found = pc.index_in(words, value_set=self.words)
+        if found.null_count:
+            new, n = words.filter(found.is_null()), len(self.words)
+            at = found.fill_null(-1).to_numpy().astype(np.int64)
+            at[at < 0] = np.arange(n, n + len(new))
+            self.ids = pa.concat_arrays([self.ids, _lists([self.make(x) for x in _listed(new)], self.kind)])
+            self.words = pa.concat_arrays([self.words, new])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        else:
+            at = found.to_numpy().astype(np.int64)
+        self.used[at] = self.turn
+        return at
+
+
 class Encoder:
     """Ids of texts by the tokenizers library.
 
@@ -100,13 +127,18 @@ class Encoder:
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.alphabet, self.merge = byte_alphabet(), self.library.model.tokenize
         self.pieces = Remembered(self._piece)
-        self.spaced = Remembered(lambda letters: self._ids(self.space + letters) if letters.isascii() else self._piece(" " + letters), SPACED)
+        self.spaced = Remembered(self._letters)
+        self.words = Words(self._letters, self.type)
         self.first = Remembered(self._piece)
         self.space, self.code = self.alphabet[0x20], "H" if self.type.itemsize == 2 else "I"
 
     def _piece(self, x: str) -> bytes:
         return self._ids(x.replace(" ", self.space) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.alphabet))
 
+    def _letters(self, x: str) -> bytes:
+        """Ids of letters after a blank."""
+        return self._ids(self.space + x) if x.isascii() else self._piece(" " + x)
+
     def _ids(self, shown: str) -> bytes:
         """Ids of a piece in the vocabulary's alphabet."""
         return array.array(self.code, map(ID, self.merge(shown))).tobytes()
@@ -130,19 +162,37 @@ class Encoder:
         words = pc.split_pattern(pa.array(texts, pa.string()), " ")
         starts, each = words.offsets.to_numpy(), words.flatten()
         unlike = each.dictionary_encode()
-        at = unlike.indices.to_numpy().copy()
-        # The first word of a text has no blank before it, so it stands behind the others.
-        at[starts[:-1]] = len(unlike.dictionary) + np.arange(len(texts))
-        own = unlike.dictionary
+        own, at = unlike.dictionary, unlike.indices.to_numpy()
         letters = pc.utf8_rtrim(own, characters=string.punctuation)
-        alone, known, pieces = _listed(pc.utf8_is_alpha(letters)), self.spaced, self.pieces
-        cut = zip(_listed(own), _listed(letters), alone, strict=True)
-        found = [(known[a] if len(a) == len(x) else known[a] + pieces[x[len(a) :]]) if plain else self._word(" ", x) for x, a, plain in cut]
-        found += [self._word("", x) for x in _listed(each.take(pa.array(starts[:-1])))]
-        n = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
-        ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])), pa.array(np.frombuffer(b"".join(found), self.type)))
-        all_ids, cuts = ids.take(pa.array(at)).flatten().to_numpy(), _cuts(np.add.reduceat(n[at], starts[:-1]))
-        return [all_ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+        plain = pc.utf8_is_alpha(letters)
+        # ids: those of letters after a blank, then of the signs behind them, of other words, and of the texts' first words.
+        alone, signs = letters.filter(plain).dictionary_encode(), _ends(own.filter(plain), letters.filter(plain)).dictionary_encode()
+        places = self.words.places(alone.dictionary)
+        rest = [self.pieces[x] if x else b"" for x in _listed(signs.dictionary)]
+        rest += [self._word(" ", x) for x in _listed(own.filter(pc.invert(plain)))]
+        # The first word of a text has no blank before it.
+        rest += [self._word("", x) for x in _listed(each.take(pa.array(starts[:-1])))]
+        ids = pa.concat_arrays([self.words.ids, _lists(rest, self.type)])
+        # A word's place among ids, and that of the signs behind it.
+        n, told = len(self.words.ids), plain.to_numpy(zero_copy_only=False)
+        head, tail = np.empty(len(own), np.int64), np.full(len(own), -1)
+        head[told] = places[alone.indices.to_numpy()]
+        head[~told] = n + len(signs.dictionary) + np.arange((~told).sum())
+        signed = pc.not_equal(signs.dictionary, "").to_numpy(zero_copy_only=False)[signs.indices.to_numpy()]
+        tail[told] = np.where(signed, n + signs.indices.to_numpy(), -1)
+        head, tail = head[at], tail[at]
+        head[starts[:-1]], tail[starts[:-1]] = len(ids) - len(texts) + np.arange(len(texts)), -1
+        behind = np.flatnonzero(tail >= 0)
+        after = np.cumsum(np.where(tail >= 0, 2, 1))
+        pairs = np.empty(after[-1], np.int64)
+        pairs[after - np.where(tail >= 0, 2, 1)] = head
+        pairs[after[behind] - 1] = tail[behind]
+        all_ids = ids.take(pa.array(pairs))
+        # starts is of words, ends of what stands for them, cuts of ids.
+        ends = np.concatenate([[0], after])[starts]
+        cuts = all_ids.offsets.to_numpy()[ends].tolist()
+        flat = all_ids.values.to_numpy()
+        return [flat[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
 
     @staticmethod
     def _is_plain(text: str) -> bool:
@@ -173,6 +223,24 @@ def _listed(values: pa.Array) -> list:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
+def _lists(ids: list[bytes], kind: np.dtype) -> pa.LargeListArray:
+    """A list of ids for each of the bytes."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int64()), pa.array(np.frombuffer(b"".join(ids), kind)))
+
+
+def _ends(words: pa.Array, heads: pa.Array) -> pa.Array:
+    """What of each word stands behind its head."""
+    if not len(words):
+        return words
+    stop = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 :][: len(words)].astype(np.int64)
+    n = pc.binary_length(words).to_numpy().astype(np.int64) - pc.binary_length(heads).to_numpy()
+    ends = np.cumsum(n)
+    at = np.arange(n.sum()) + np.repeat(stop - ends, n)
+    held = np.frombuffer(words.buffers()[2], np.uint8)[at]
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(held))
+
+
 def _cuts(n: np.ndarray) -> list[int]:
     return [0, *np.cumsum(n).tolist()]
 
@@ -225,7 +293,7 @@ def _stage(path: str, bounds: list) -> object:
         """Each document's ids; at the end of a partition, one row (shard -1) with the counts of its ids."""
         own, zip_, counts = encoder(path), zstandard.ZstdCompressor(level=1), None
         end = own.type.type(END).tobytes()
-        for part in _parts(batches):
+        for part in _parts(batches, 1024):  # a batch of 2 MB as a rule, so that a word is looked up once in it
             blobs = [ids + end for ids in own(part.column("text").to_pylist())]
             counts = (0 if counts is None else counts) + np.bincount(np.frombuffer(b"".join(blobs), own.type), minlength=own.size)
             docs = part.column("doc_id").to_pylist()
