@@ -30,6 +30,8 @@ RING_BITS = 20
 LEAST = 0.75
 #: Shingles of the members that are compared at once.
 BLOCK = 1_000_000
+#: Files a core that frames of a few numbers a row are written to; the rounds of the components write and read dozens of these frames.
+FILES = 4
 
 _rng = np.random.default_rng(20)
 BYTES = _rng.integers(0, 2**64, 256, np.uint64)
@@ -135,15 +137,20 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(1))
 
 
+def _narrow(df: DataFrame, name: str) -> DataFrame:
+    """materialise for rows of a few numbers, in at most FILES files a core, however many partitions the session shuffles into."""
+    return materialise(df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """c, label: the smallest node that a node of edges (a, b) reaches. Labels spread over edges, then jump."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("c")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    both = _narrow(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = _narrow(both.groupBy(F.col("a").alias("c")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         far = both.join(labels, both["b"] == labels["c"]).groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(far, labels["c"] == far["a"]).select("c", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         root = labels.select(F.col("c").alias("label"), F.col("label").alias("root"))
-        jumped = materialise(spread.join(root, "label").select("c", "old", F.least("label", "root").alias("label")), "labels")
+        jumped = _narrow(spread.join(root, "label").select("c", "old", F.least("label", "root").alias("label")), "labels")
         if not jumped.where("old != label").limit(1).count():
             return jumped.select("c", "label")
         labels = jumped.select("c", "label")
@@ -157,7 +164,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     new = new.select(F.col("c").alias("own"), F.col("label").alias("root"))
     moved = labels.join(new, labels["label"] == new["own"], "left").select("c", F.coalesce("root", "label").alias("label"))
     single = new.select(F.col("own").alias("c"), F.col("root").alias("label")).join(labels.select("c"), "c", "left_anti")
-    return materialise(moved.unionByName(single), "labels")
+    return _narrow(moved.unionByName(single), "labels")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -210,7 +217,7 @@ def _open_links(members: DataFrame, classes: DataFrame, labels: DataFrame, sets:
     parts = full.groupBy("cluster", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n")).groupBy("cluster")
     parts = parts.agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.sum("n").alias("n"), F.max_by("n", F.struct("m", "label")).alias("most"))
     parts = parts.select("cluster", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.greatest(F.lit(1), F.col("n") - F.col("most")) / BLOCK).cast("int").alias("asking"))
-    full = full.join(materialise(parts, "parts"), "cluster")
+    full = full.join(_narrow(parts, "parts"), "cluster")
     block = lambda n: F.pmod(F.xxhash64("c"), n).cast("int")
     own = full.where("label != largest").withColumn("i", block(F.col("asking"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     others = full.withColumn("j", block(F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)))

@@ -167,6 +167,24 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
 
 
+def test_components_write_few_files(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(600).select((F.col("id") + 1).alias("a"), (F.col("id") + 1 + F.col("id") % 3).alias("b")).where("a != b")
+        found = near_dedup.components(edges)
+        assert len(found.inputFiles()) <= near_dedup.FILES * spark.sparkContext.defaultParallelism
+        own = {r.c: r.label for r in found.collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = {}
+    for a, b in sorted((r.a, r.b) for r in edges.collect()):
+        want[b] = want[a] = want.get(a, a)
+    assert own == want
+
+
 def test_word_hashes_follow_words():
     for text in ("a b", " A\tb\x0b c ", "é É", "x" * 5000 + " y", "", None):
         assert len(near_dedup.word_hashes(text)) == len((text or "").encode().split())
