@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.operators.narrative import holds_name, query_names
+from folio.sources.tables import small, stored
 
 
 def hard_negatives(results: DataFrame, chunks: DataFrame, positives: DataFrame, matches: DataFrame, queries: DataFrame, per_case: int = 8, split: str = "development") -> DataFrame:
@@ -23,8 +24,10 @@ def hard_negatives(results: DataFrame, chunks: DataFrame, positives: DataFrame,
         raise ValueError("an acceptance benchmark must not be mined")
     if not 1 <= per_case <= 50:
         raise ValueError("negatives per case must be between 1 and 50")
-    where = positives.join(chunks.select("pos", "doc_id", "book"), "pos")
-    own = results.join(positives, ["item_id", "pos"], "left_anti").join(matches.select("item_id", "pos"), ["item_id", "pos"], "left_anti").join(chunks.select("pos", "doc_id", "book", "text"), "pos")
+    # Results and positives are broadcast where they are few, so that no chunk's text is shuffled.
+    where = stored(small(positives.select("item_id", "pos")).join(chunks.select("pos", "doc_id", "book"), "pos"), "positives")
+    left = results.join(positives, ["item_id", "pos"], "left_anti").join(matches.select("item_id", "pos"), ["item_id", "pos"], "left_anti")
+    own = stored(small(left).join(chunks.select("pos", "doc_id", "book", "text"), "pos"), "results")
     own = own.join(where.select("item_id", "doc_id").distinct().withColumn("in_chapter", F.lit(True)), ["item_id", "doc_id"], "left")
     own = own.join(where.select("item_id", "book").distinct().withColumn("in_book", F.lit(True)), ["item_id", "book"], "left")
     own = own.join(queries.select("item_id", query_names(F.col("query")).alias("wanted")), "item_id")

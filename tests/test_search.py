@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -387,3 +388,20 @@ def test_folds_keep_scenes_whole():
         assert not {c["id"] for c in train} & {c["id"] for c in check} and len(train) + len(check) == 20
     with pytest.raises(ValueError):
         training.scene_folds(cases, 11)
+
+
+def test_hard_negatives_shuffle_no_texts(spark, monkeypatch):
+    own = spark.createDataFrame([(p, p, 1, 0, 1, "one", "P", "other", [1.0]) for p in range(6)], CHUNKS)
+    results = spark.createDataFrame([(1, r, p) for r, p in enumerate(range(6), 1)], "item_id long, rank int, pos long")
+    positives = spark.createDataFrame([(1, 0)], "item_id long, pos long")
+    q = spark.createDataFrame([(1, "Where")], "item_id long, query string")
+    plans = []
+    monkeypatch.setattr(training, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert training.hard_negatives(results, own, positives, positives, q, per_case=4).count() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    texts = [p for p in plans if "text#" in p]
+    assert texts and all(re.search(r"BroadcastHashJoin \[pos#", p) for p in texts)
