@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from folio.operators import evaluation
 from folio.plans import passages, registry, search
 
 DATA = "/root/testdata/sf0.001"
@@ -29,3 +30,19 @@ def test_same_as_sql(spark, sql, name):
     rows = sorted(repr([r[c] for c in order]) for r in got.collect())
     at = [want.columns.index(c) for c in order]
     assert rows == sorted(repr([r[i] for i in at]) for r in want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_passage_metrics_join_few_results(spark, monkeypatch):
+    names, plans = [], []
+    stored = passages.stored
+    monkeypatch.setattr(passages, "stored", lambda df, name: names.append(name) or stored(df, name))
+    monkeypatch.setattr(evaluation, "passage_metrics", lambda found, targets, own=evaluation.passage_metrics: plans.append(found._jdf.queryExecution().executedPlan().toString()) or own(found, targets))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert passages.passage_metrics(spark, DATA).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {"results", "places", "targets"} <= set(names)
+    assert "BroadcastHashJoin [pos#" in plans[0]
