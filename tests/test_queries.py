@@ -46,3 +46,9 @@ def test_passage_metrics_join_few_results(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert {"results", "places", "targets"} <= set(names)
     assert "BroadcastHashJoin [pos#" in plans[0]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_stage_metrics_rank_no_documents(spark, monkeypatch):
+    monkeypatch.setattr(registry, "_firsts", lambda *x: pytest.fail("the documents' first ranks are not needed"))
+    assert passages.stage_metrics(spark, DATA).count() == 1
